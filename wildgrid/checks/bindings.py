@@ -99,13 +99,13 @@ select n_nationkey as eco_id, n_name as eco_name, n_regionkey as biome_num, r_na
 from nation join region on n_regionkey = r_regionkey"""),
     # One triangle per region as a closed ring.
     "eco_ring": ([], """
-select n_nationkey as eco_id, 0 as seq, -180.0 + n_nationkey*14.0 as lon, -80.0 + cast((n_nationkey*37) % 130 as double) as lat from nation
+select n_nationkey as eco_id, 0 as seq, cast(-180.0 + n_nationkey*14.0 as double) as lon, -80.0 + cast((n_nationkey*37) % 130 as double) as lat from nation
 union all
-select n_nationkey, 1, -166.3 + n_nationkey*14.0, -80.0 + cast((n_nationkey*37) % 130 as double) from nation
+select n_nationkey, 1, cast(-166.3 + n_nationkey*14.0 as double), -80.0 + cast((n_nationkey*37) % 130 as double) from nation
 union all
-select n_nationkey, 2, -173.2 + n_nationkey*14.0, -50.0 + cast((n_nationkey*37) % 130 as double) from nation
+select n_nationkey, 2, cast(-173.2 + n_nationkey*14.0 as double), -50.0 + cast((n_nationkey*37) % 130 as double) from nation
 union all
-select n_nationkey, 3, -180.0 + n_nationkey*14.0, -80.0 + cast((n_nationkey*37) % 130 as double) from nation"""),
+select n_nationkey, 3, cast(-180.0 + n_nationkey*14.0 as double), -80.0 + cast((n_nationkey*37) % 130 as double) from nation"""),
     "text_clip": ([], """
 select concat('name_', cast(vec_id as string)) as id_str, embedding, concat('d', cast(vec_id as string)) as description from embeddings"""),
     # One id in ten is unknown to the first space.

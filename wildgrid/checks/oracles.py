@@ -117,10 +117,10 @@ measured as (
   select g.*, cast(t.total_obs as double)*(cast(g.n_species as double)/t.total_species) as e
   from grouped g, totals t),
 bias as (
-  select class, kingdom, n_species, n_obs, round_even(e, 1) as ideal, round_even(n_obs - e, 1) as deviation,
-    case when e > 0 then round_even((n_obs - e)/e*100, 1) else 0 end as deviation_pct,
-    round_even(cast(a1 as double)/n_species*100, 1) as p1, round_even(cast(a20 as double)/n_species*100, 1) as p20,
-    round_even(cast(c20 as double)/n_species*100, 1) as p20d
+  select class, kingdom, n_species, n_obs, (cast(printf('%.1f', cast(e as double)) as double) + cast(0 as double)) as ideal, (cast(printf('%.1f', cast(n_obs - e as double)) as double) + cast(0 as double)) as deviation,
+    case when e > 0 then (cast(printf('%.1f', cast((n_obs - e)/e*100 as double)) as double) + cast(0 as double)) else 0 end as deviation_pct,
+    (cast(printf('%.1f', cast(cast(a1 as double)/n_species*100 as double)) as double) + cast(0 as double)) as p1, (cast(printf('%.1f', cast(cast(a20 as double)/n_species*100 as double)) as double) + cast(0 as double)) as p20,
+    (cast(printf('%.1f', cast(cast(c20 as double)/n_species*100 as double)) as double) + cast(0 as double)) as p20d
   from measured)"""
 
 _SCORES = """
@@ -145,8 +145,8 @@ stage1 as (
   select r.query_id, cast(r."rank" as int) as "rank", r.slug,
     coalesce(i.name, upper(left(replace(r.slug, '_', ' '), 1)) || lower(substring(replace(r.slug, '_', ' '), 2))) as name,
     i.family, i."order", i.image_url, i.dataset_records, coalesce(i.subrepresented, false) as subrepresented, r.description,
-    round_even(r.s_bio, 4) as score_bioclip, round_even(r.s_clip, 4) as score_clip,
-    round_even(round((r.s_clip + r.s_bio)/2, 10), 4) as score_ensemble
+    (cast(printf('%.4f', cast(r.s_bio as double)) as double) + cast(0 as double)) as score_bioclip, (cast(printf('%.4f', cast(r.s_clip as double)) as double) + cast(0 as double)) as score_clip,
+    (cast(printf('%.4f', cast((r.s_clip + r.s_bio)/2 as double)) as double) + cast(0 as double)) as score_ensemble
   from ranked r left join info i on r.slug = i.slug where r."rank" <= 30)"""
 
 _STAGE2 = _SCORES + """,
@@ -155,8 +155,8 @@ nearest as (
   from stage1 s join queries q on s.query_id = q.query_id join anchors a on a.id_str = s.slug
   group by s.query_id, s.slug),
 blended as (
-  select s.*, round_even(coalesce(n.best, 0.0), 4) as score_dino,
-    round_even(cast(0.7 as double)*s.score_ensemble + (1 - cast(0.7 as double))*coalesce(n.best, 0.0), 4) as score_final
+  select s.*, (cast(printf('%.4f', cast(coalesce(n.best, 0.0) as double)) as double) + cast(0 as double)) as score_dino,
+    (cast(printf('%.4f', cast(cast(0.7 as double)*s.score_ensemble + (1 - cast(0.7 as double))*coalesce(n.best, 0.0) as double)) as double) + cast(0 as double)) as score_final
   from stage1 s left join nearest n on s.query_id = n.query_id and s.slug = n.slug),
 placed as (
   select *, cast(row_number() over (partition by query_id order by score_final desc, "rank") as int) as rank_final from blended),
@@ -214,8 +214,8 @@ _GRADE_YEARS = "kingdom in ('STANDARD','PROMO') and quality_grade = 'research' a
 _BRANDS = "kingdom in ('STANDARD','SMALL','LARGE') and phylum in ('Brand#1','Brand#4','Brand#12','Brand#23') and quality_grade = 'research'"
 _OBS_TAXA = ["obs", "taxa"]
 _PROFILE_STATS = (
-    "round_even(avg(n), 6) as norm_mean, round_even(stddev_pop(n), 6) as norm_std, "
-    "round_even(min(n), 6) as norm_min, round_even(max(n), 6) as norm_max"
+    "(cast(printf('%.6f', cast(avg(n) as double)) as double) + cast(0 as double)) as norm_mean, (cast(printf('%.6f', cast(stddev_pop(n) as double)) as double) + cast(0 as double)) as norm_std, "
+    "(cast(printf('%.6f', cast(min(n) as double)) as double) + cast(0 as double)) as norm_min, (cast(printf('%.6f', cast(max(n) as double)) as double) + cast(0 as double)) as norm_max"
 )
 _NORMS = "select row_number() over (order by vec_id) as nth, len(embedding) as dim, sqrt(list_sum(list_transform(embedding, lambda v: cast(v as double)*v))) as n from embeddings"
 
@@ -247,7 +247,7 @@ from live l left join ranks r on l.taxon_id = r.taxon_id"""),
     "description_filtered": _sql(["description_raw"], _DESCRIPTION, "select * from description"),
     "taxon_link": _sql(["taxa", "checklist"], _LINK, "select * from link"),
     "taxon_link_rate": _sql(["taxa", "checklist"], _LINK, """
-select count(*) as n_taxa, count(gbif_id) as n_matched, round_even(count(gbif_id)/cast(count(*) as double), 6) as match_rate from link"""),
+select count(*) as n_taxa, count(gbif_id) as n_matched, (cast(printf('%.6f', cast(count(gbif_id)/cast(count(*) as double) as double)) as double) + cast(0 as double)) as match_rate from link"""),
     "hex_density": _sql(_OBS_TAXA, _HEX, "select * from hex_density"),
     "region_stats": _sql(_OBS_TAXA, _JOINED, """
 select h3_r3, kingdom, phylum, quality_grade, year, count(*) as n_obs, count(distinct taxon_id) as n_species,
@@ -302,8 +302,8 @@ placed as (
   select *, cast(row_number() over (partition by level order by n desc, value) as int) as position, count(*) over (partition by level) as total from options)""",
         "select level, position, value, n, greatest(total - 30, 0) as more from placed where position <= 30"),
     "headline_stats": _sql([*_OBS_TAXA, "eco_ring"], _HEX + "," + _TREE_BODY + "," + _COVER, """
-select cast(sum(n_obs) as bigint) as n_obs,
-  (select cast(sum(n_species) as bigint) from taxon_tree where quality_grade = 'research' and kingdom in ('PROMO','SMALL')) as n_species,
+select cast(coalesce(sum(n_obs), 0) as bigint) as n_obs,
+  (select cast(coalesce(sum(n_species), 0) as bigint) from taxon_tree where quality_grade = 'research' and kingdom in ('PROMO','SMALL')) as n_species,
   count(distinct h3_r3) as n_cells
 from hex_density where quality_grade = 'research' and kingdom in ('PROMO','SMALL') and year >= 1997
   and h3_r3 in (select h3_r3 from region_cells where eco_id in (3,5,8,13,21))"""),
@@ -381,10 +381,10 @@ votes as (
   from tops t)""", """
 select q.query_id, predicted_species, family, "order",
   case when s1 > 0.85 and m > 0.03 then 'alta' when s1 > 0.70 then 'media' else 'baja' end as confidence,
-  round_even(m, 4) as margin, round_even(fc, 2) as family_consensus, round_even(oc, 2) as order_consensus,
+  (cast(printf('%.4f', cast(m as double)) as double) + cast(0 as double)) as margin, (cast(printf('%.2f', cast(fc as double)) as double) + cast(0 as double)) as family_consensus, (cast(printf('%.2f', cast(oc as double)) as double) + cast(0 as double)) as order_consensus,
   case when n is null then 'Sin candidatos.' else
     printf('Top-1 ''%s'' con score_final=%.4f; margen sobre #2 = %.4f; consenso de familia en top-%d = %d%%; consenso de orden = %d%%',
-      predicted_species, s1, round_even(m, 4), n, cast(round_even(fc*100, 0) as int), cast(round_even(oc*100, 0) as int))
+      predicted_species, s1, (cast(printf('%.4f', cast(m as double)) as double) + cast(0 as double)), n, cast((cast(printf('%.0f', cast(fc*100 as double)) as double) + cast(0 as double)) as int), cast((cast(printf('%.0f', cast(oc*100 as double)) as double) + cast(0 as double)) as int))
     || case when rare = 1 then '; especie subrepresentada en el dataset (pocos registros de referencia)' else '' end || '.' end as rationale
 from query_vec q left join votes v on q.query_id = v.query_id"""),
     "retrieval_predictions": _sql(_RETRIEVAL_VIEWS, _PREDICTIONS, "select * from predictions"),

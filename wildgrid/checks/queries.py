@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wildgrid.checks.bindings import base_table, bound
+from wildgrid.functions import numeric
 from wildgrid.operators import filters as flt
 from wildgrid.operators.filters import DEFAULT_SCOPE, RESEARCH_SCOPE, Filters
 from wildgrid.operators.grid import assign_cells, cell_sets, cover_polygons
@@ -147,7 +148,7 @@ def ecoregion_features(t: Tables) -> DataFrame:
 
 
 def rounded(df: DataFrame, columns: list[str], places: int) -> DataFrame:
-    return df.withColumns({c: F.bround(c, places) for c in columns})
+    return df.withColumns({c: numeric.round_to(F.col(c), places) for c in columns})
 
 
 def embedding_profile(spark: SparkSession, sf_dir: str, sample_n: int | None = None) -> DataFrame:

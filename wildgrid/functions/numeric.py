@@ -22,9 +22,27 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), length))
 
 
+def round_to(value: Column, places: int) -> Column:
+    """Nearest number of that many places to the exact binary value, ties to even.
+
+    ``bround`` rounds the shortest decimal text instead and so moves a value such
+    as 0.21315 the wrong way. Here the distance to the midpoint between two
+    results is computed without error: the value is split into a float and a
+    remainder, whose products with the scale are exact.
+    """
+    scale = 10.0**places
+    x = value.cast("double")
+    low = F.floor(x * scale)
+    high_part = x.cast("float").cast("double")
+    beyond = high_part * (2 * scale) - (2 * low + 1).cast("double")
+    short = (high_part - x) * (2 * scale)
+    up = F.when(beyond > short, 1).when(beyond < short, 0).otherwise(F.abs(low % 2))
+    return (low + up) / F.lit(scale)
+
+
 def percent(part: Column, whole: Column, places: int = 1) -> Column:
     """Rounded percentage, 0 where the whole is 0."""
-    return F.coalesce(F.bround(F.try_divide(part, whole) * 100, places), F.lit(0.0))
+    return F.coalesce(round_to(F.try_divide(part, whole) * 100, places), F.lit(0.0))
 
 
 def power_bin(value: Column, top: Column, exponent: float = 0.4, last_bin: int = 5) -> Column:

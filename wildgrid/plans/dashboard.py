@@ -162,8 +162,8 @@ def class_bias(species: DataFrame, f: Filters = Filters()) -> DataFrame:
         "kingdom",
         "n_species",
         "n_obs",
-        F.bround("exact_ideal", 1).alias("ideal"),
-        F.bround("exact_deviation", 1).alias("deviation"),
+        numeric.round_to(F.col("exact_ideal"), 1).alias("ideal"),
+        numeric.round_to(F.col("exact_deviation"), 1).alias("deviation"),
         numeric.percent(F.col("exact_deviation"), F.col("exact_ideal")).alias("deviation_pct"),
         numeric.percent(F.col("seen"), F.col("n_species")).alias("p1"),
         numeric.percent(F.col("seen_20"), F.col("n_species")).alias("p20"),

@@ -70,9 +70,9 @@ def stage1(
         "dataset_records",
         F.coalesce("subrepresented", F.lit(False)).alias("subrepresented"),
         "description",
-        F.bround("score_bio", 4).alias("score_bioclip"),
-        F.bround("score_clip", 4).alias("score_clip"),
-        F.bround("score", 4).alias("score_ensemble"),
+        numeric.round_to(F.col("score_bio"), 4).alias("score_bioclip"),
+        numeric.round_to(F.col("score_clip"), 4).alias("score_clip"),
+        numeric.round_to(numeric.mean_of_two(F.col("score_clip"), F.col("score_bio")), 4).alias("score_ensemble"),
     )
 
 
@@ -90,11 +90,11 @@ def stage2(
     images = anchors.select(F.col("id_str").alias("slug"), F.col("embedding").alias("vector"))
     nearest = best_similarity(asked, images, "slug")
     exact = F.coalesce("best", F.lit(0.0))
-    final = F.bround(numeric.blend(weight, F.col("score_ensemble"), exact), 4)
+    final = numeric.round_to(numeric.blend(weight, F.col("score_ensemble"), exact), 4)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_final"), "rank"))
     return (
         candidates.join(nearest, ["query_id", "slug"], "left")
-        .withColumn("score_dino", F.bround(exact, 4))
+        .withColumn("score_dino", numeric.round_to(exact, 4))
         .withColumn("score_final", final)
         .drop("best")
         .withColumn("rank_final", place)
@@ -140,9 +140,9 @@ def stage3(reranked: DataFrame, queries: DataFrame) -> DataFrame:
         "family",
         "order",
         numeric.confidence_tier(F.col("first_score"), F.col("exact_margin")).alias("confidence"),
-        F.bround("exact_margin", 4).alias("margin"),
-        F.bround("family_share", 2).alias("family_consensus"),
-        F.bround("order_share", 2).alias("order_consensus"),
+        numeric.round_to(F.col("exact_margin"), 4).alias("margin"),
+        numeric.round_to(F.col("family_share"), 2).alias("family_consensus"),
+        numeric.round_to(F.col("order_share"), 2).alias("order_consensus"),
         _rationale().alias("rationale"),
     )
     none = numeric.confidence_tier(F.lit(0.0), F.lit(0.0))
@@ -165,13 +165,13 @@ RARE_NOTE = "; especie subrepresentada en el dataset (pocos registros de referen
 
 def _rationale() -> Column:
     def whole_percent(share: str) -> Column:
-        return F.bround(F.col(share) * 100, 0).cast("int")
+        return numeric.round_to(F.col(share) * 100, 0).cast("int")
 
     told = F.format_string(
         RATIONALE,
         F.col("predicted_species"),
         F.col("first_score"),
-        F.bround("exact_margin", 4),
+        numeric.round_to(F.col("exact_margin"), 4),
         F.col("n"),
         whole_percent("family_share"),
         whole_percent("order_share"),
