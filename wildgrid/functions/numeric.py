@@ -17,9 +17,13 @@ def norm(vector: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The vector divided by its norm; a zero vector has no direction and gives NULLs."""
-    length = norm(vector)
-    return F.transform(vector, lambda x: F.try_divide(x.cast("double"), length))
+    """The vector divided by its norm; a zero vector has no direction and gives NULLs.
+
+    The norm is bound as the element of a one-element array. As a plain column it
+    would be computed again for every component.
+    """
+    scaled = F.transform(F.array(norm(vector)), lambda n: F.transform(vector, lambda x: F.try_divide(x.cast("double"), n)))
+    return F.get(scaled, F.lit(0))
 
 
 def round_to(value: Column, places: int) -> Column:

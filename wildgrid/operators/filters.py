@@ -68,7 +68,7 @@ def by_ecoregions(df: DataFrame, f: Filters, region_cells: DataFrame | None) ->
     if not ids or region_cells is None or "h3_r3" not in df.columns:
         return df
     cells = region_cells.filter(F.col("eco_id").isin(ids)).select("h3_r3")
-    return df.filter(F.col("h3_r3").isin(cells.distinct()) | ~cells.exists())
+    return df.filter(F.col("h3_r3").isin(cells) | ~cells.exists())
 
 
 def by_grade(df: DataFrame, f: Filters) -> DataFrame:

@@ -31,7 +31,8 @@ def _all_blocks(blocks: Column) -> Column:
 def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
     """Candidates per query by the mean of two dot products.
 
-    ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
+    Query vectors are scaled to length one in the task; corpus vectors are used
+    as they are. ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
     bio and copies, with unique rows. The result holds, for each query, the best
     ``top`` corpus rows of every block, so it contains the best ``top`` overall.
     Scores are rounded to ten places: the last bits of a matrix product depend
@@ -41,29 +42,34 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
 
     def compare(left, right):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        from pyarrow import compute
+
+        def matrix(table, name):
+            vectors = table[name].combine_chunks()
+            return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
+
+        def unit(rows):
+            return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-        columns = ["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
         # Sorted by name, a stable sort by score leaves ties in name order.
-        right = right.sort_values(["slug", "description"], na_position="first", kind="stable")
-        clip = np.stack(left["clip"]) @ np.stack(right["clip"]).astype("float64").T
-        bio = np.stack(left["bio"]) @ np.stack(right["bio"]).astype("float64").T
-        score = np.round((clip + bio) / 2, places)
-        picked = np.argsort(-score, axis=1, kind="stable")[:, :top]
-        rows = np.repeat(np.arange(len(left)), picked.shape[1])
-        at = picked.ravel()
-        return pd.DataFrame(
-            {
-                "query_id": left["query_id"].to_numpy()[rows],
-                "slug": right["slug"].to_numpy()[at],
-                "description": right["description"].to_numpy()[at],
-                "copies": right["copies"].to_numpy()[at],
-                "score_clip": clip[rows, at],
-                "score_bio": bio[rows, at],
-                "score": score[rows, at],
-            }
+        order = [("slug", "ascending"), ("description", "ascending")]
+        right = right.take(compute.sort_indices(right, sort_keys=order, null_placement="at_start"))
+        n = min(top, len(right)) if len(left) else 0
+        if n:
+            clip = unit(matrix(left, "clip")) @ matrix(right, "clip").T
+            bio = unit(matrix(left, "bio")) @ matrix(right, "bio").T
+            score = np.round((clip + bio) / 2, places)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :n].ravel()
+        else:
+            clip = bio = score = np.zeros((len(left), len(right)))
+            at = np.zeros(0, dtype="int64")
+        rows = np.repeat(np.arange(len(left)), n)
+        picked = right.select(["slug", "description", "copies"]).take(pa.array(at))
+        return pa.table(
+            [left["query_id"].take(pa.array(rows)), *picked.columns,
+             pa.array(clip[rows, at]), pa.array(bio[rows, at]), pa.array(score[rows, at])],
+            names=["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"],
         )
 
     n_left, n_right = _block_count(queries, LEFT_BLOCK), _block_count(corpus, RIGHT_BLOCK)
@@ -78,7 +84,7 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
     return (
         left.groupBy("lb", "rb")
         .cogroup(right.groupBy("lb", "rb"))
-        .applyInPandas(
+        .applyInArrow(
             compare,
             f"query_id {id_type}, slug string, description string, copies long, "
             "score_clip double, score_bio double, score double",
@@ -87,7 +93,7 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
 
 
 def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Largest dot product of each left row with the right rows of its group.
+    """Largest dot product of each left row, at length one, with the right rows of its group.
 
     ``left`` has query_id, ``on`` and vector; ``right`` has ``on`` and vector.
     A group is cut into as many blocks as its two sides need, so one group with
@@ -97,14 +103,19 @@ def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
     def compare(a, b):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["query_id", "member", "best"])
-        scores = np.stack(a["vector"]) @ np.stack(b["vector"]).astype("float64").T
-        return pd.DataFrame(
-            {"query_id": a["query_id"].to_numpy(), "member": a["member"].to_numpy(), "best": scores.max(axis=1)}
-        )
+        def matrix(table):
+            vectors = table["vector"].combine_chunks()
+            return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
+
+        if len(a) and len(b):
+            asked = matrix(a)
+            asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+            best = (asked @ matrix(b).T).max(axis=1)
+        else:
+            a, best = a.slice(0, 0), np.zeros(0)
+        return pa.table([a["query_id"], a["member"], pa.array(best)], names=["query_id", "member", "best"])
 
     members = right.select(F.col(on).alias("member"), "vector").distinct()
     asked = left.select("query_id", F.col(on).alias("member"), "vector").dropDuplicates(["query_id", "member"])
@@ -124,7 +135,7 @@ def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     id_type = left.schema["query_id"].dataType.simpleString()
     pairs = a.groupBy("member", "lb", "rb").cogroup(b.groupBy("member", "lb", "rb"))
     return (
-        pairs.applyInPandas(compare, f"query_id {id_type}, member string, best double")
+        pairs.applyInArrow(compare, f"query_id {id_type}, member string, best double")
         .groupBy("query_id", "member")
         .agg(F.max("best").alias("best"))
         .withColumnRenamed("member", on)

@@ -1,10 +1,10 @@
 """The five aggregate tables behind the dashboard.
 
-Taxa are unique by ``taxon_id``. Where a table needs no distinct observers, the
-observations are first counted per taxon and the other keys: the join then sees
-one row per combination instead of one per observation, a taxon that holds a
-third of all observations costs one row per task, and since a taxon belongs to
-one branch, the number of species is the number of those rows.
+Taxa are unique by ``taxon_id``. Observations are counted per taxon and the other
+keys before they meet the taxa: the join sees one row per combination instead of
+one per observation, and a taxon that holds a third of all observations is
+combined before any shuffle. Since a taxon belongs to one branch, a table without
+distinct observers then has as many species as it has counted rows.
 """
 
 from __future__ import annotations
@@ -27,16 +27,20 @@ def country_stats(obs: DataFrame, taxa: DataFrame) -> DataFrame:
 def _cell_counts(obs: DataFrame, taxa: DataFrame, cells: list[str]) -> DataFrame:
     """Observations, distinct taxa and distinct observers per cell, branch, grade and year.
 
-    Spark computes the distinct counts in two steps, the first grouped by the
+    Repeated sightings of a taxon by an observer are counted before the join.
+    Spark then takes the distinct counts in two steps, the first grouped by the
     counted column as well, so a crowded cell is spread over all tasks.
     """
-    branch = taxa.select("taxon_id", "kingdom", "phylum")
-    seen = obs.filter("h3_r3 is not null").select(*cells, "quality_grade", "year", "taxon_id", "observer_id")
+    counted = (
+        obs.filter("h3_r3 is not null and taxon_id is not null")
+        .groupBy(*cells, "quality_grade", "year", "taxon_id", "observer_id")
+        .agg(F.count("*").alias("n"))
+    )
     return (
-        seen.join(branch, "taxon_id")
+        counted.join(taxa.select("taxon_id", "kingdom", "phylum"), "taxon_id")
         .groupBy(*cells, "kingdom", "phylum", "quality_grade", "year")
         .agg(
-            F.count("*").alias("n_obs"),
+            F.sum("n").alias("n_obs"),
             F.count_distinct("taxon_id").alias("n_species"),
             F.count_distinct("observer_id").alias("n_observers"),
         )
@@ -130,14 +134,14 @@ def species_list(
     )
 
 
-# Write order: first the columns the dashboard filters on, so that reads skip row
-# groups; then enough others to cut a common value into many ranges.
-CLUSTERING = {
-    "hex_density": ["quality_grade", "year", "h3_r3", "h3_r5"],
-    "country_stats": ["quality_grade", "year", "h3_r3", "phylum"],
-    "temporal": ["quality_grade", "year", "month", "kingdom", "phylum"],
-    "taxon_tree": ["quality_grade", *RANKS],
-    "species_list": ["quality_grade", "n_obs", "taxon_id"],
+# Order inside the written files, by what the dashboard filters on, so that reads
+# skip row groups and pages.
+SORTING = {
+    "hex_density": ["quality_grade", "year", "h3_r3"],
+    "country_stats": ["quality_grade", "year", "h3_r3"],
+    "temporal": ["quality_grade", "year"],
+    "taxon_tree": ["quality_grade", "kingdom"],
+    "species_list": ["quality_grade", "n_obs"],
 }
 
 
@@ -159,4 +163,4 @@ def build_aggregates(tables: dict[str, DataFrame], out: str, only: list[str] | N
     }
     for name, plan in plans.items():
         if only is None or name in only:
-            write_table(plan(), f"{out}/{name}.parquet", cluster_by=CLUSTERING[name])
+            write_table(plan(), f"{out}/{name}.parquet", sort_by=SORTING[name])

@@ -13,6 +13,7 @@ from wildgrid.functions import numeric, text
 from wildgrid.operators.numbering import first_per_key
 from wildgrid.operators.similarity import best_matches, best_similarity
 from wildgrid.plans.external import augment_predictions
+from wildgrid.session import shared_folder
 
 TOP_M = 30
 TOP_K = 10
@@ -27,8 +28,8 @@ def align_spaces(text_clip: DataFrame, text_bio: DataFrame) -> DataFrame:
     Equal rows are merged and counted. Of several vectors of one id in the
     second space the smallest is used.
     """
-    second = text_bio.groupBy("id_str").agg(F.min("embedding").alias("bio"))
-    first = text_clip.groupBy("id_str", "description", "embedding").agg(F.count("*").alias("copies"))
+    second = text_bio.dropna(subset=["embedding"]).groupBy("id_str").agg(F.min("embedding").alias("bio"))
+    first = text_clip.dropna(subset=["embedding"]).groupBy("id_str", "description", "embedding").agg(F.count("*").alias("copies"))
     return first.join(second, "id_str").select(
         F.col("id_str").alias("slug"), "description", F.col("embedding").alias("clip"), "bio", "copies"
     )
@@ -45,9 +46,7 @@ def stage1(
     queries: DataFrame, text_clip: DataFrame, text_bio: DataFrame, species: DataFrame, top_m: int = TOP_M
 ) -> DataFrame:
     """Best ``top_m`` species texts per query, with species metadata."""
-    encoded = queries.select(
-        "query_id", numeric.unit(F.col("q_clip")).alias("clip"), numeric.unit(F.col("q_bio")).alias("bio")
-    )
+    encoded = queries.select("query_id", F.col("q_clip").alias("clip"), F.col("q_bio").alias("bio")).dropna()
     found = best_matches(encoded, align_spaces(text_clip, text_bio), top_m)
     order = [F.desc("score"), "slug", "description"]
     per_query = Window.partitionBy("query_id")
@@ -85,9 +84,9 @@ def stage2(
     result is sorted, ties in stage-1 order.
     """
     asked = candidates.select("query_id", "slug").join(
-        queries.select("query_id", numeric.unit(F.col("q_dino")).alias("vector")), "query_id"
+        queries.select("query_id", F.col("q_dino").alias("vector")).dropna(), "query_id"
     )
-    images = anchors.select(F.col("id_str").alias("slug"), F.col("embedding").alias("vector"))
+    images = anchors.select(F.col("id_str").alias("slug"), F.col("embedding").alias("vector")).dropna()
     nearest = best_similarity(asked, images, "slug")
     exact = F.coalesce("best", F.lit(0.0))
     final = numeric.round_to(numeric.blend(weight, F.col("score_ensemble"), exact), 4)
@@ -200,10 +199,13 @@ def identify(
     """All stages: stage1 (the part shown), stage2, stage3, predictions, known.
 
     Stage 2 works on the whole of stage 1. The predictions are stage 2 with the
-    metadata of the species list.
+    metadata of the species list. The results of the two vector comparisons are
+    checkpointed: they are short, several outputs read them, and a lost executor
+    must not cause a second comparison.
     """
-    first = stage1(queries, text_clip, text_bio, species, top_m)
-    second = stage2(first, queries, anchors, weight, top_k)
+    shared_folder(queries.sparkSession)
+    first = stage1(queries, text_clip, text_bio, species, top_m).checkpoint()
+    second = stage2(first, queries, anchors, weight, top_k).checkpoint()
     predictions = augment_predictions(second, species)
     return {
         "stage1": first.filter(F.col("rank") <= SHOWN_STAGE1),

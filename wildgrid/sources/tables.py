@@ -83,20 +83,20 @@ def write_table(
     df: DataFrame,
     path: str,
     schema: T.StructType | None = None,
-    cluster_by: list[str] | None = None,
+    sort_by: list[str] | None = None,
     partition_by: list[str] | None = None,
     mode: str = "error",
 ) -> None:
     """Write zstd Parquet.
 
-    ``schema`` fixes names and types. ``cluster_by`` orders the table by the
-    columns readers filter on, so that row-group statistics skip most of it; it
-    costs one shuffle and is meant for the small aggregate tables.
+    ``schema`` fixes names and types. ``sort_by`` orders each file by the columns
+    readers filter on, so that its statistics let them skip most of it; no
+    shuffle is needed for that.
     """
     if schema is not None:
         df = schemas.enforce(df, schema)
-    if cluster_by:
-        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
