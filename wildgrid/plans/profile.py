@@ -70,7 +70,7 @@ def species_profiles(
     """
     named = keyed(taxa, ids, "taxon_id").filter("name is not null")
     seen = keyed(obs, ids, "taxon_id")
-    link = keyed(taxon_link, ids, "taxon_id")
+    link = keyed(taxon_link.filter("gbif_id is not null"), ids, "taxon_id")
     texts = (
         link.join(preferred_vernacular(vernacular), "gbif_id", "left")
         .join(preferred_description(description), "gbif_id", "left")
