@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wildgrid.checks.bindings import base_table, bound
-from wildgrid.functions import numeric
+from wildgrid.functions import numeric, text
 from wildgrid.operators import filters as flt
 from wildgrid.operators.filters import DEFAULT_SCOPE, RESEARCH_SCOPE, Filters
 from wildgrid.operators.grid import assign_cells, cell_sets, cover_polygons
@@ -152,8 +152,9 @@ def rounded(df: DataFrame, columns: list[str], places: int) -> DataFrame:
 
 
 def embedding_profile(spark: SparkSession, sf_dir: str, sample_n: int | None = None) -> DataFrame:
+    """Norm statistics of the vector table, by file name."""
     vectors = inv.read_vectors(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet")
-    profile = inv.embedding_profile(vectors, sample_n)
+    profile = inv.embedding_profile(vectors, sample_n).withColumn("file", text.file_name(F.col("path"))).drop("path")
     return rounded(profile, ["norm_mean", "norm_std", "norm_min", "norm_max"], 6)
 
 
@@ -180,7 +181,7 @@ def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the files of the folder, each reported with a copy that is not there."""
     present = inv.file_inventory(spark, sf_dir)
     gone = present.withColumn("path", F.replace("path", F.lit(".parquet"), F.lit(".old.parquet")))
-    root = "file:" + sf_dir.rstrip("/") if sf_dir.startswith("/") else sf_dir
+    root = "file://" + sf_dir.rstrip("/") if sf_dir.startswith("/") else sf_dir
     return inv.manifest(present.unionByName(gone), present, root, "external")
 
 
@@ -290,7 +291,7 @@ QUERIES: dict[str, Query] = {
     "retrieval_known": _on(lambda t: t.retrieval()["known"]),
     "embedding_profile": embedding_profile,
     "embedding_profile_sample": lambda spark, sf_dir: embedding_profile(spark, sf_dir, 100),
-    "embedding_totals": lambda spark, sf_dir: inv.embedding_totals(embedding_profile(spark, sf_dir)),
+    "embedding_totals": lambda spark, sf_dir: inv.embedding_totals(inv.embedding_report(spark, sf_dir)),
     # External list
     "external_species": _on(lambda t: t.external),
     "external_page": _on(lambda t: external.external_page(t.external, "brand|ring", 2, 24, "obs")),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from wildgrid.functions.text import file_extension, file_name, parent_folder, relative_path
+from wildgrid.functions.numeric import norm
+from wildgrid.functions.text import file_extension, parent_folder, relative_path
 
 # Extensions of each kind of file.
 KINDS = {
@@ -31,7 +32,10 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     Only names and sizes are read; files of no listed kind have a NULL kind.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .select(F.col("_metadata.file_path").alias("path"), "length")
     )
     extension = file_extension(F.col("path"))
     return files.select(
@@ -48,7 +52,7 @@ def image_counts(inventory: DataFrame) -> DataFrame:
 
 
 def probe_parquet(inventory: DataFrame, sample_rows: int = 5) -> DataFrame:
-    """Schema and first rows of each Parquet file, or the error that reading it gave.
+    """Schema, columns and first rows of each Parquet file, or the error that reading it gave.
 
     Files differ in schema, so each is opened where its path lands; only the
     footer and the first batch are read.
@@ -62,26 +66,26 @@ def probe_parquet(inventory: DataFrame, sample_rows: int = 5) -> DataFrame:
         from pyarrow import fs
 
         for batch in batches:
-            rows = []
+            found = []
             for path in batch["path"]:
-                row = {"path": path, "schema": None, "sample": None, "error": None}
+                row = {"path": path, "columns": None, "schema": None, "sample": None, "error": None}
                 try:
-                    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
-                    files, inside = fs.FileSystem.from_uri(uri)
+                    files, inside = fs.FileSystem.from_uri(path)
                     with files.open_input_file(inside) as handle:
                         parquet = pq.ParquetFile(handle)
+                        row["columns"] = parquet.schema_arrow.names
                         row["schema"] = str(parquet.schema_arrow)
                         first = next(parquet.iter_batches(batch_size=sample_rows), None)
-                        found = [] if first is None else first.slice(0, sample_rows).to_pylist()
-                        row["sample"] = json.dumps(found, default=str, ensure_ascii=False)
+                        sample = [] if first is None else first.to_pylist()
+                        row["sample"] = json.dumps(sample, default=str, ensure_ascii=False)
                 except Exception as e:  # the report lists unreadable files
                     row["error"] = repr(e)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "schema", "sample", "error"])
+                found.append(row)
+            yield pd.DataFrame(found, columns=["path", "columns", "schema", "sample", "error"])
 
-    paths = inventory.filter("kind = 'parquets'").select("path")
-    # Paths are few per task and slow to open: spread them.
-    return paths.repartition("path").mapInPandas(probe, "path string, schema string, sample string, error string")
+    # Files are slow to open next to their number: spread the paths.
+    paths = inventory.filter("kind = 'parquets'").select("path").repartition("path")
+    return paths.mapInPandas(probe, "path string, columns array<string>, schema string, sample string, error string")
 
 
 def probe_json(texts: DataFrame, n_keys: int = 20, n_items: int = 5, n_chars: int = 200) -> DataFrame:
@@ -126,23 +130,37 @@ def manifest(report: DataFrame, present: DataFrame, root: str, target: str) -> D
     )
 
 
-def embedding_profile(vectors: DataFrame, sample_n: int | None = None) -> DataFrame:
-    """Per file: rows, vectors used, dimension and norm statistics.
+def read_vectors(spark: SparkSession, root: str, element: str = "float") -> DataFrame:
+    """Vectors of all Parquet files below ``root`` with their file and row.
 
-    ``vectors`` has ``file``, ``row_index`` and ``embedding``. With ``sample_n``
-    only the first vectors of each file are measured; the row count is whole.
+    A file without an ``embedding`` column gives NULL vectors; an unreadable
+    file gives no rows, its error is found by ``probe_parquet``.
     """
-    from pyspark.sql import Window
+    return (
+        spark.read.schema(f"embedding array<{element}>")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .option("ignoreCorruptFiles", True)
+        .parquet(root)
+        .select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"), "embedding"
+        )
+    )
 
-    from wildgrid.functions.numeric import norm
 
+def embedding_profile(vectors: DataFrame, sample_n: int | None = None) -> DataFrame:
+    """Per file: rows, vectors measured, dimension and norm statistics.
+
+    With ``sample_n`` only the first vectors of each file are measured; the row
+    count is that of the whole file.
+    """
     measured = vectors.filter("embedding is not null")
     if sample_n is not None:
-        nth = F.row_number().over(Window.partitionBy("file").orderBy("row_index"))
+        nth = F.row_number().over(Window.partitionBy("path").orderBy("row_index"))
         measured = measured.withColumn("nth", nth).filter(F.col("nth") <= sample_n)
     stats = (
-        measured.select("file", F.size("embedding").alias("n"), norm(F.col("embedding")).alias("norm"))
-        .groupBy("file")
+        measured.select("path", F.size("embedding").alias("n"), norm(F.col("embedding")).alias("norm"))
+        .groupBy("path")
         .agg(
             F.count("*").alias("sample_count"),
             F.max("n").alias("dim"),
@@ -152,20 +170,21 @@ def embedding_profile(vectors: DataFrame, sample_n: int | None = None) -> DataFr
             F.max("norm").alias("norm_max"),
         )
     )
-    rows = vectors.groupBy("file").agg(F.count("*").alias("rows"))
-    return rows.join(stats, "file", "left").withColumn(
-        "sample_count", F.coalesce("sample_count", F.lit(0))
-    )
+    rows = vectors.groupBy("path").agg(F.count("*").alias("rows"))
+    return rows.join(stats, "path", "left").withColumn("sample_count", F.coalesce("sample_count", F.lit(0)))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Embeddings with the file and the row they came from."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path).select(
-        file_name(F.col("_metadata.file_path")).alias("file"),
-        F.col("_metadata.row_index").alias("row_index"),
-        "embedding",
+def embedding_report(spark: SparkSession, root: str, sample_n: int | None = 100) -> DataFrame:
+    """Profile of every Parquet file below ``root``, with its columns or its read error."""
+    probed = probe_parquet(file_inventory(spark, root)).select(
+        "path", "columns", F.array_contains("columns", "embedding").alias("present"), "error"
     )
+    return probed.join(embedding_profile(read_vectors(spark, root), sample_n), "path", "left")
 
 
-def embedding_totals(profile: DataFrame) -> DataFrame:
-    return profile.agg(F.count("*").alias("total_files"), F.sum("rows").alias("estimated_total_vectors"))
+def embedding_totals(report: DataFrame) -> DataFrame:
+    """Number of files, and of rows in the files that have vectors."""
+    return report.agg(
+        F.count("*").alias("total_files"),
+        F.coalesce(F.sum(F.when(F.col("present"), F.col("rows"))), F.lit(0)).alias("estimated_total_vectors"),
+    )
