@@ -85,9 +85,10 @@ def brute(raw, top_m, top_k, lam=0.7):
     return out
 
 
-@pytest.mark.parametrize("left_block, right_block", [(1024, 8192), (4, 7)])
-def test_stages_equal_brute_force(spark, monkeypatch, left_block, right_block):
+@pytest.mark.parametrize("left_block, right_block, chunk", [(8192, 8192, 256), (9, 7, 2)])
+def test_stages_equal_brute_force(spark, monkeypatch, left_block, right_block, chunk):
     """Small blocks cut the corpus, and the species with most images, many times."""
+    monkeypatch.setattr(similarity, "CHUNK", chunk)
     monkeypatch.setattr(similarity, "LEFT_BLOCK", left_block)
     monkeypatch.setattr(similarity, "RIGHT_BLOCK", right_block)
     frames, raw = data(spark)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wildgrid import schemas
+from wildgrid.operators import filters
 from wildgrid.plans import cleaning, external
 from wildgrid.sources import delimited, documents, features, inventory, tables
 from conftest import rows
@@ -215,6 +216,34 @@ def test_json_probe(spark):
     assert got["b"].error and got["b"].preview is None
 
 
+def test_report_and_its_manifest(spark, tmp_path):
+    tree(tmp_path / "root", spark)
+    inventory.write_report(inventory.inventory_report(spark, str(tmp_path / "root")), str(tmp_path / "report"))
+    listed = inventory.reported_files(spark, str(tmp_path / "report"))
+    assert sorted((r.kind, r.path.split("/")[-1][:4]) for r in listed.collect()) == [
+        ("embeddings", "x.np"), ("jsons", "d.js"), ("parquets", "bad."), ("parquets", "part"),
+    ]
+    (tmp_path / "root" / "b" / "x.npy").unlink()
+    present = inventory.file_inventory(spark, str(tmp_path / "root"))
+    got = inventory.manifest(listed, present, f"file://{tmp_path}/root", "out")
+    assert {r.dst: r.status for r in got.collect() if "part-" not in r.dst} == {
+        "out/parquets/b/bad.parquet": "copied", "out/jsons/b/d.json": "copied", "out/embeddings/b/x.npy": "skipped",
+    }
+
+
+def test_records_as_array_or_lines(spark, tmp_path):
+    array = write(tmp_path / "a.json", '[{"eco_id": 1}, {"eco_id": 2}]')
+    lines = write(tmp_path / "l.json", '{"eco_id": 1}\n{"eco_id": 2}\n')
+    assert rows(tables.read_records(spark, array, "eco_id int", array=True)) == [(1,), (2,)]
+    assert rows(tables.read_records(spark, lines, "eco_id int")) == [(1,), (2,)]
+
+
+def test_name_lookup_ignores_case(spark):
+    df = spark.createDataFrame([(1, "Ant"), (2, "Bee"), (3, None)], "taxon_id int, name string")
+    names = spark.createDataFrame([("ANT",), ("ant",), (None,)], "name string")
+    assert rows(filters.named(df, names)) == [(1, "Ant")]
+
+
 def test_manifest(spark):
     schema = "path string, kind string"
     report = spark.createDataFrame(

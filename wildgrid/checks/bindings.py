@@ -25,8 +25,8 @@ select {_UUID} as observation_uuid,
   cast((l_suppkey*6271) % 35000 as double)/100.0 - 180.0 + cast(l_partkey % 40 as double)*0.05 as longitude,
   case when l_linenumber = 7 then null else (l_orderkey*31 + l_partkey) % 12000 end as positional_accuracy,
   case when l_returnflag in ('A','R') then 'research' when l_linestatus = 'O' then 'needs_id' else 'casual' end as quality_grade,
-  case when l_discount = 0.0 then null else year(l_shipdate) end as year,
-  case when l_discount = 0.0 then null else month(l_shipdate) end as month,
+  case when l_discount = 0.0 then null else cast(year(l_shipdate) as int) end as year,
+  case when l_discount = 0.0 then null else cast(month(l_shipdate) as int) end as month,
   l_discount as anomaly_score
 from lineitem join orders on l_orderkey = o_orderkey"""),
     # The dump as it comes: text for accuracy and date, both with bad values.

@@ -351,7 +351,7 @@ left join texts x on t.taxon_id = x.taxon_id left join photo_pick p on t.taxon_i
 select count(*) as n_regions, count(distinct biome_num) as n_biomes, count(distinct realm) as n_realms,
   (select count(distinct h3_r3) from region_cells) as n_cells from ecoregions where eco_id > 0"""),
     "biome_groups": _sql(["ecoregions"], "", """
-select biome_num, min(biome_name) as biome_name, list(eco_id order by eco_id) as eco_ids, count(*) as n_regions
+select biome_num, min(biome_name) as biome_name, string_agg(cast(eco_id as varchar), ',' order by eco_id) as eco_ids, count(*) as n_regions
 from ecoregions where eco_id > 0 group by biome_num"""),
     "biome_toggle": _sql(["ecoregions"], """
 selected as (select eco_id, biome_num from ecoregions where eco_id > 0 and (biome_num = 1 or (biome_num = 2 and eco_id > 10)))""", """
@@ -360,7 +360,7 @@ union all
 select eco_id, 2 from ecoregions where eco_id > 0 and (biome_num = 2 or eco_id in (select eco_id from selected))"""),
     "ecoregion_cells": _sql(["eco_ring"], _COVER, "select * from region_cells"),
     "ecoregion_cell_sets": _sql(["eco_ring"], _COVER, """
-select eco_id, list(h3_r3 order by h3_r3) as cells from region_cells group by eco_id"""),
+select eco_id, string_agg(h3_r3, ',' order by h3_r3) as cells from region_cells group by eco_id"""),
     "ecoregion_features": _sql(["ecoregions", "eco_ring"], "", """
 select e.eco_id, eco_name, biome_num, biome_name, realm, 1 as n_parts, cast(count(*) as int) as n_points,
   min(lon) as west, max(lon) as east, min(lat) as south, max(lat) as north
@@ -392,18 +392,18 @@ from query_vec q left join votes v on q.query_id = v.query_id"""),
 select q.query_id, q.known_species, p.name as top1_name, coalesce(lower(p.name) = lower(q.known_species), false) as top1_is_known
 from query_vec q join predictions p on q.query_id = p.query_id and p.rank_final = 1 where q.known_species <> ''"""),
     "embedding_profile": f"""
-select 'embeddings.parquet' as file, count(*) as rows, count(n) as sample_count, max(dim) as dim, {_PROFILE_STATS} from ({_NORMS}) x""",
+select 'embeddings.parquet' as file, count(*) as rows, count(n) as sample_count, cast(max(dim) as int) as dim, {_PROFILE_STATS} from ({_NORMS}) x""",
     "embedding_profile_sample": f"""
 select 'embeddings.parquet' as file, (select count(*) from embeddings) as rows, count(n) as sample_count, cast(max(dim) as int) as dim, {_PROFILE_STATS}
 from ({_NORMS}) x where nth <= 100""",
-    "embedding_totals": "select 14 as total_files, count(*) as estimated_total_vectors from embeddings",
+    "embedding_totals": "select cast(14 as bigint) as total_files, count(*) as estimated_total_vectors from embeddings",
     "external_species": _sql([], _EXTERNAL, "select * from external_species"),
     "external_page": _sql([], _EXTERNAL + """,
 scoped as (select * from external_species where regexp_matches(name, 'brand|ring', 'i'))""", """
 select *, (select count(*) from scoped) as total, cast(greatest(ceil((select count(*) from scoped)/24.0), 1) as int) as pages
 from scoped order by dataset_records desc nulls last, taxon_id limit 24 offset 24"""),
     "json_probe": """
-select cast(event_id as varchar) as path, 'OBJECT' as kind, json_keys(props) as keys_sample,
+select cast(event_id as varchar) as path, 'OBJECT' as kind, array_to_string(json_keys(props), ',') as keys_sample,
   cast(json(props) as varchar) as preview, cast(null as varchar) as error from events""",
     "catalog_status": _sql([*_OBS_TAXA, "ecoregions", "eco_ring"], _HEX + "," + _TREE_BODY + "," + _COVER, """
 select 'hex_density' as item, count(*) as n from hex_density union all

@@ -151,6 +151,11 @@ def rounded(df: DataFrame, columns: list[str], places: int) -> DataFrame:
     return df.withColumns({c: numeric.round_to(F.col(c), places) for c in columns})
 
 
+def as_text(df: DataFrame, column: str) -> DataFrame:
+    """An array as comma list, which both engines print alike."""
+    return df.withColumn(column, F.array_join(F.col(column).cast("array<string>"), ","))
+
+
 def embedding_profile(spark: SparkSession, sf_dir: str, sample_n: int | None = None) -> DataFrame:
     """Norm statistics of the vector table, by file name."""
     vectors = inv.read_vectors(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet")
@@ -172,17 +177,17 @@ def catalog_status(t: Tables) -> DataFrame:
 def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe of the event properties, one document per event."""
     events = base_table(spark, sf_dir, "events")
-    return inv.probe_json(
+    probe = inv.probe_json(
         events.select(F.col("event_id").cast("string").alias("source_file"), F.col("props").alias("text"))
     )
+    return as_text(probe, "keys_sample")
 
 
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the files of the folder, each reported with a copy that is not there."""
     present = inv.file_inventory(spark, sf_dir)
     gone = present.withColumn("path", F.replace("path", F.lit(".parquet"), F.lit(".old.parquet")))
-    root = "file://" + sf_dir.rstrip("/") if sf_dir.startswith("/") else sf_dir
-    return inv.manifest(present.unionByName(gone), present, root, "external")
+    return inv.manifest(present.unionByName(gone), present, sf_dir, "external")
 
 
 def parquet_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,10 +283,10 @@ QUERIES: dict[str, Query] = {
     # Regions
     "ecoregion_meta": _on(lambda t: feat.region_meta(t.features)),
     "ecoregion_counts": _on(lambda t: feat.region_counts(t.features, t.region_cells)),
-    "biome_groups": _on(lambda t: dash.biome_groups(feat.valid_features(t.features))),
+    "biome_groups": _on(lambda t: as_text(dash.biome_groups(feat.valid_features(t.features)), "eco_ids")),
     "biome_toggle": _on(biome_toggle),
     "ecoregion_cells": _on(lambda t: t.region_cells),
-    "ecoregion_cell_sets": _on(lambda t: cell_sets(t.region_cells)),
+    "ecoregion_cell_sets": _on(lambda t: as_text(cell_sets(t.region_cells), "cells")),
     "ecoregion_features": _on(ecoregion_features),
     # Identification
     "retrieval_stage1": _on(lambda t: t.retrieval()["stage1"]),

@@ -94,6 +94,12 @@ def keyed(df: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
     return df if keys is None else df.join(keys.select(on).distinct(), on, "left_semi")
 
 
+def named(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose ``name`` is listed, without regard to case."""
+    wanted = names.select(F.lower("name").alias("wanted")).distinct()
+    return df.join(wanted, F.lower(df["name"]) == F.col("wanted"), "left_semi")
+
+
 def toggle_biome(selected: DataFrame, biome_regions: DataFrame) -> DataFrame:
     """Region selection after a click on a biome.
 

@@ -1,18 +1,20 @@
 """Blocked vector comparison.
 
 Every left row meets every right row of its group, in blocks: both sides are cut
-into blocks of bounded size, each pair of blocks is one task-side matrix
-product, and only the wanted scores leave it. Blocks are chosen by a hash of the
-row, after equal rows have been merged, so no key, however frequent, makes a
-block large, and a lost task gives the same blocks again.
+into blocks of bounded size, each pair of blocks is one run of matrix products in
+a task, and only the wanted scores leave it. Each side is shuffled once per block
+of the other. Blocks are chosen by a hash of the row, after equal rows have been
+merged, so no key, however frequent, makes a block large, and a lost task gives
+the same blocks again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LEFT_BLOCK = 1024
+LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
+CHUNK = 256  # left rows compared at once inside a block
 SCORE_PLACES = 10
 
 
@@ -38,7 +40,7 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
     Scores are rounded to ten places: the last bits of a matrix product depend
     on the block and must not decide ties.
     """
-    places = SCORE_PLACES
+    places, chunk = SCORE_PLACES, CHUNK
 
     def compare(left, right):
         import numpy as np
@@ -52,25 +54,27 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
         def unit(rows):
             return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
+        names = ["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"]
         # Sorted by name, a stable sort by score leaves ties in name order.
         order = [("slug", "ascending"), ("description", "ascending")]
         right = right.take(compute.sort_indices(right, sort_keys=order, null_placement="at_start"))
-        n = min(top, len(right)) if len(left) else 0
-        if n:
-            clip = unit(matrix(left, "clip")) @ matrix(right, "clip").T
-            bio = unit(matrix(left, "bio")) @ matrix(right, "bio").T
-            score = np.round((clip + bio) / 2, places)
-            at = np.argsort(-score, axis=1, kind="stable")[:, :n].ravel()
-        else:
-            clip = bio = score = np.zeros((len(left), len(right)))
-            at = np.zeros(0, dtype="int64")
-        rows = np.repeat(np.arange(len(left)), n)
+        n = min(top, len(right))
+        at, scores = [np.zeros(0, dtype="int64")], [np.zeros((3, 0))]
+        if n and len(left):
+            right_clip, right_bio = matrix(right, "clip").T, matrix(right, "bio").T
+            left_clip, left_bio = unit(matrix(left, "clip")), unit(matrix(left, "bio"))
+            for start in range(0, len(left), chunk):
+                clip = left_clip[start : start + chunk] @ right_clip
+                bio = left_bio[start : start + chunk] @ right_bio
+                score = np.round((clip + bio) / 2, places)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :n]
+                at.append(best.ravel())
+                scores.append(np.stack([np.take_along_axis(m, best, axis=1).ravel() for m in (clip, bio, score)]))
+        at, scores = np.concatenate(at), np.concatenate(scores, axis=1)
+        asked = np.arange(len(at)) // max(n, 1)
         picked = right.select(["slug", "description", "copies"]).take(pa.array(at))
-        return pa.table(
-            [left["query_id"].take(pa.array(rows)), *picked.columns,
-             pa.array(clip[rows, at]), pa.array(bio[rows, at]), pa.array(score[rows, at])],
-            names=["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"],
-        )
+        query = left["query_id"].take(pa.array(asked))
+        return pa.table([query, *picked.columns, *[pa.array(s) for s in scores]], names=names)
 
     n_left, n_right = _block_count(queries, LEFT_BLOCK), _block_count(corpus, RIGHT_BLOCK)
     left = queries.select(
@@ -101,6 +105,8 @@ def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     are absent from the result.
     """
 
+    chunk = CHUNK
+
     def compare(a, b):
         import numpy as np
         import pyarrow as pa
@@ -109,13 +115,14 @@ def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
             vectors = table["vector"].combine_chunks()
             return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
 
-        if len(a) and len(b):
-            asked = matrix(a)
+        if not (len(a) and len(b)):
+            a, b = a.slice(0, 0), b.slice(0, 0)
+        best = [np.zeros(0)]
+        if len(a):
+            asked, images = matrix(a), matrix(b).T
             asked /= np.linalg.norm(asked, axis=1, keepdims=True)
-            best = (asked @ matrix(b).T).max(axis=1)
-        else:
-            a, best = a.slice(0, 0), np.zeros(0)
-        return pa.table([a["query_id"], a["member"], pa.array(best)], names=["query_id", "member", "best"])
+            best = [(asked[i : i + chunk] @ images).max(axis=1) for i in range(0, len(a), chunk)]
+        return pa.table([a["query_id"], a["member"], pa.array(np.concatenate(best))], names=["query_id", "member", "best"])
 
     members = right.select(F.col(on).alias("member"), "vector").distinct()
     asked = left.select("query_id", F.col(on).alias("member"), "vector").dropDuplicates(["query_id", "member"])

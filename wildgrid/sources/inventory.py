@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wildgrid.functions.numeric import norm
 from wildgrid.functions.text import file_extension, parent_folder, relative_path
+from wildgrid.sources.documents import read_documents
+from wildgrid.sources.tables import read_records, write_json
 
 # Extensions of each kind of file.
 KINDS = {
@@ -17,6 +20,7 @@ KINDS = {
     "images": [".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif", ".tiff"],
     "other_files": [".csv", ".tsv", ".txt"],
 }
+COPIED_KINDS = ["parquets", "jsons", "embeddings"]
 
 
 def _kind(extension: Column) -> Column:
@@ -26,6 +30,10 @@ def _kind(extension: Column) -> Column:
     return kind
 
 
+def _local(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, folder, extension, kind, size_bytes) of every file below ``root``.
 
@@ -113,15 +121,43 @@ def probe_json(texts: DataFrame, n_keys: int = 20, n_items: int = 5, n_chars: in
     )
 
 
+def inventory_report(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What lies below ``root``: probed tables and documents, vector files, image counts, other files."""
+    files = file_inventory(spark, root)
+    return {
+        "parquets": probe_parquet(files),
+        "jsons": probe_json(read_documents(spark, root)),
+        "embeddings": files.filter("kind = 'embeddings'").select("path", "size_bytes"),
+        "images_count": image_counts(files),
+        "other_files": files.filter("kind = 'other_files'").select("path", "size_bytes"),
+    }
+
+
+def write_report(report: dict[str, DataFrame], out: str) -> None:
+    """Each part of the report as JSON records in a folder of its name."""
+    for name, part in report.items():
+        write_json(part, f"{out.rstrip('/')}/{name}")
+
+
+def reported_files(spark: SparkSession, out: str) -> DataFrame:
+    """(path, kind) of the tables, documents and vector files of a written report."""
+    parts = [
+        read_records(spark, f"{out.rstrip('/')}/{kind}", "path string").select("path", F.lit(kind).alias("kind"))
+        for kind in COPIED_KINDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def manifest(report: DataFrame, present: DataFrame, root: str, target: str) -> DataFrame:
     """Copy plan of the reported tables, documents and vectors.
 
     Each reported path of those kinds gets its target path and a status:
     ``copied`` if the file is present, else ``skipped`` with reason ``missing``.
     """
-    listed = report.filter(F.col("kind").isin("parquets", "jsons", "embeddings")).select("path", "kind")
+    listed = report.filter(F.col("kind").isin(COPIED_KINDS)).select("path", "kind")
     here = present.select(F.col("path"), F.lit(True).alias("found"))
-    below = relative_path(F.col("path"), F.lit(root))
+    # A local path may come with or without its scheme, and with one slash or three.
+    below = relative_path(_local(F.col("path")), _local(F.lit(root)))
     return listed.join(here, "path", "left").select(
         F.col("path").alias("src"),
         F.concat_ws("/", F.lit(target), F.col("kind"), below).alias("dst"),

@@ -114,6 +114,11 @@ def as_json(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias(name))
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str, array: bool = False) -> DataFrame:
+    """JSON records, one per line, or as one array per file."""
+    return spark.read.schema(schema).option("multiLine", array).json(path)
+
+
 def write_json(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
     """One JSON record per line, in the given order."""
     records = as_json(df.orderBy(*order_by) if order_by else df, "value")
