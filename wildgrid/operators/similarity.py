@@ -30,11 +30,12 @@ def _all_blocks(blocks: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), blocks - 1))
 
 
-def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
+def best_matches(queries: DataFrame, corpus: DataFrame, corpus_ids: DataFrame, top: int) -> DataFrame:
     """Candidates per query by the mean of two dot products.
 
     Query vectors are scaled to length one in the task; corpus vectors are used
-    as they are. ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
+    as they are. ``corpus_ids`` has at least as many rows as the corpus and is
+    only counted. ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
     bio and copies, with unique rows. The result holds, for each query, the best
     ``top`` corpus rows of every block, so it contains the best ``top`` overall.
     Scores are rounded to ten places: the last bits of a matrix product depend
@@ -76,7 +77,7 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
         query = left["query_id"].take(pa.array(asked))
         return pa.table([query, *picked.columns, *[pa.array(s) for s in scores]], names=names)
 
-    n_left, n_right = _block_count(queries, LEFT_BLOCK), _block_count(corpus, RIGHT_BLOCK)
+    n_left, n_right = _block_count(queries, LEFT_BLOCK), _block_count(corpus_ids, RIGHT_BLOCK)
     left = queries.select(
         "query_id", "clip", "bio", _block_of(["query_id"], n_left).alias("lb"), _all_blocks(n_right).alias("rb")
     )
@@ -96,15 +97,14 @@ def best_matches(queries: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
     )
 
 
-def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Largest dot product of each left row, at length one, with the right rows of its group.
+def best_similarity(pairs: DataFrame, queries: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Largest dot product of each query, at length one, with the right rows of a group.
 
-    ``left`` has query_id, ``on`` and vector; ``right`` has ``on`` and vector.
-    A group is cut into as many blocks as its two sides need, so one group with
-    a third of all rows is spread like any other. Left rows without a partner
-    are absent from the result.
+    ``pairs`` names the (query_id, ``on``) wanted, ``queries`` has query_id and
+    vector, ``right`` has ``on`` and vector. A group is cut into as many blocks
+    as its two sides need, so one group with a third of all rows is spread like
+    any other. Pairs without right rows are absent from the result.
     """
-
     chunk = CHUNK
 
     def compare(a, b):
@@ -124,25 +124,30 @@ def best_similarity(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
             best = [(asked[i : i + chunk] @ images).max(axis=1) for i in range(0, len(a), chunk)]
         return pa.table([a["query_id"], a["member"], pa.array(np.concatenate(best))], names=["query_id", "member", "best"])
 
-    members = right.select(F.col(on).alias("member"), "vector").distinct()
-    asked = left.select("query_id", F.col(on).alias("member"), "vector").dropDuplicates(["query_id", "member"])
+    asked = pairs.select("query_id", F.col(on).alias("member")).distinct()
+    images = right.select(F.col(on).alias("member"), "vector")
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("member").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
 
-    plan = blocks(asked, LEFT_BLOCK, "n_left").join(blocks(members, RIGHT_BLOCK, "n_right"), "member")
-    a = asked.join(plan, "member").select(
-        "query_id", "member", "vector",
-        _block_of(["query_id"], F.col("n_left")).alias("lb"), _all_blocks(F.col("n_right")).alias("rb"),
+    plan = blocks(asked, LEFT_BLOCK, "n_left").join(blocks(images, RIGHT_BLOCK, "n_right"), "member")
+    # The vectors join last, when only their block is still to be shuffled to.
+    a = (
+        asked.join(plan, "member")
+        .select(
+            "query_id", "member",
+            _block_of(["query_id"], F.col("n_left")).alias("lb"), _all_blocks(F.col("n_right")).alias("rb"),
+        )
+        .join(queries.select("query_id", "vector"), "query_id")
     )
-    b = members.join(plan, "member").select(
+    b = images.distinct().join(plan, "member").select(
         "member", "vector",
         _block_of(["vector"], F.col("n_right")).alias("rb"), _all_blocks(F.col("n_left")).alias("lb"),
     )
-    id_type = left.schema["query_id"].dataType.simpleString()
-    pairs = a.groupBy("member", "lb", "rb").cogroup(b.groupBy("member", "lb", "rb"))
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    met = a.groupBy("member", "lb", "rb").cogroup(b.groupBy("member", "lb", "rb"))
     return (
-        pairs.applyInArrow(compare, f"query_id {id_type}, member string, best double")
+        met.applyInArrow(compare, f"query_id {id_type}, member string, best double")
         .groupBy("query_id", "member")
         .agg(F.max("best").alias("best"))
         .withColumnRenamed("member", on)

@@ -47,7 +47,7 @@ def stage1(
 ) -> DataFrame:
     """Best ``top_m`` species texts per query, with species metadata."""
     encoded = queries.select("query_id", F.col("q_clip").alias("clip"), F.col("q_bio").alias("bio")).dropna()
-    found = best_matches(encoded, align_spaces(text_clip, text_bio), top_m)
+    found = best_matches(encoded, align_spaces(text_clip, text_bio), text_clip, top_m)
     order = [F.desc("score"), "slug", "description"]
     per_query = Window.partitionBy("query_id")
     best = found.withColumn("nth", F.row_number().over(per_query.orderBy(*order))).filter(F.col("nth") <= top_m)
@@ -83,11 +83,9 @@ def stage2(
     The rounded text score and the exact image score are blended; the rounded
     result is sorted, ties in stage-1 order.
     """
-    asked = candidates.select("query_id", "slug").join(
-        queries.select("query_id", F.col("q_dino").alias("vector")).dropna(), "query_id"
-    )
+    encoded = queries.select("query_id", F.col("q_dino").alias("vector")).dropna()
     images = anchors.select(F.col("id_str").alias("slug"), F.col("embedding").alias("vector")).dropna()
-    nearest = best_similarity(asked, images, "slug")
+    nearest = best_similarity(candidates, encoded, images, "slug")
     exact = F.coalesce("best", F.lit(0.0))
     final = numeric.round_to(numeric.blend(weight, F.col("score_ensemble"), exact), 4)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_final"), "rank"))
