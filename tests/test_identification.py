@@ -137,6 +137,15 @@ def test_a_single_candidate_has_its_own_score_as_margin(spark):
     assert dict(rows(got["stage3"], "query_id", "margin")) == scores
 
 
+def test_a_query_without_direction_finds_nothing(spark):
+    frames, _ = data(spark, n_text=5, n_query=3)
+    flat = F.when(F.col("query_id") == 1, F.transform("q_clip", lambda x: x * 0)).otherwise(F.col("q_clip"))
+    frames["queries"] = frames["queries"].withColumn("q_clip", flat.cast("array<float>"))
+    got = ident.identify(*frames.values())
+    assert {r.query_id for r in got["stage1"].collect()} == {0, 2}
+    assert dict(rows(got["stage3"], "query_id", "rationale"))[1] == "Sin candidatos."
+
+
 def test_corpus_vectors_are_not_scaled(spark):
     frames, _ = data(spark, n_text=4, n_query=1)
     longer = {**frames, "text_clip": frames["text_clip"].withColumn("embedding", F.transform("embedding", lambda x: (x * 4).cast("float")))}

@@ -35,7 +35,8 @@ def best_matches(queries: DataFrame, corpus: DataFrame, corpus_ids: DataFrame, t
 
     Query vectors are scaled to length one in the task; corpus vectors are used
     as they are. ``corpus_ids`` has at least as many rows as the corpus and is
-    only counted. ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
+    only counted. A query vector of length zero has no direction and finds
+    nothing. ``queries`` has query_id, clip, bio; ``corpus`` has slug, description, clip,
     bio and copies, with unique rows. The result holds, for each query, the best
     ``top`` corpus rows of every block, so it contains the best ``top`` overall.
     Scores are rounded to ten places: the last bits of a matrix product depend
@@ -52,9 +53,6 @@ def best_matches(queries: DataFrame, corpus: DataFrame, corpus_ids: DataFrame, t
             vectors = table[name].combine_chunks()
             return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
 
-        def unit(rows):
-            return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
         names = ["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"]
         # Sorted by name, a stable sort by score leaves ties in name order.
         order = [("slug", "ascending"), ("description", "ascending")]
@@ -62,15 +60,20 @@ def best_matches(queries: DataFrame, corpus: DataFrame, corpus_ids: DataFrame, t
         n = min(top, len(right))
         at, scores = [np.zeros(0, dtype="int64")], [np.zeros((3, 0))]
         if n and len(left):
-            right_clip, right_bio = matrix(right, "clip").T, matrix(right, "bio").T
-            left_clip, left_bio = unit(matrix(left, "clip")), unit(matrix(left, "bio"))
+            sides = [(matrix(left, name), matrix(right, name).T) for name in ("clip", "bio")]
+            lengths = [np.linalg.norm(vectors, axis=1, keepdims=True) for vectors, _ in sides]
+            directed = (lengths[0][:, 0] > 0) & (lengths[1][:, 0] > 0)
+            left = left.filter(pa.array(directed))
+            asked = [vectors[directed] / size[directed] for (vectors, _), size in zip(sides, lengths)]
             for start in range(0, len(left), chunk):
-                clip = left_clip[start : start + chunk] @ right_clip
-                bio = left_bio[start : start + chunk] @ right_bio
+                clip, bio = (a[start : start + chunk] @ b for a, (_, b) in zip(asked, sides))
                 score = np.round((clip + bio) / 2, places)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-                at.append(best.ravel())
-                scores.append(np.stack([np.take_along_axis(m, best, axis=1).ravel() for m in (clip, bio, score)]))
+                least = np.partition(score, -n, axis=1)[:, -n]
+                for row, bound in enumerate(least):
+                    good = np.flatnonzero(score[row] >= bound)
+                    good = good[np.argsort(-score[row, good], kind="stable")[:n]]
+                    at.append(good)
+                    scores.append(np.stack([clip[row, good], bio[row, good], score[row, good]]))
         at, scores = np.concatenate(at), np.concatenate(scores, axis=1)
         asked = np.arange(len(at)) // max(n, 1)
         picked = right.select(["slug", "description", "copies"]).take(pa.array(at))
@@ -101,9 +104,10 @@ def best_similarity(pairs: DataFrame, queries: DataFrame, right: DataFrame, on:
     """Largest dot product of each query, at length one, with the right rows of a group.
 
     ``pairs`` names the (query_id, ``on``) wanted, ``queries`` has query_id and
-    vector, ``right`` has ``on`` and vector. A group is cut into as many blocks
-    as its two sides need, so one group with a third of all rows is spread like
-    any other. Pairs without right rows are absent from the result.
+    vector, ``right`` has ``on`` and vector. Small groups share a task by hash. A
+    large group is cut into as many blocks as its two sides need, so one group
+    with a third of all rows is spread like any other. Pairs without right rows
+    are absent from the result.
     """
     chunk = CHUNK
 
@@ -115,37 +119,58 @@ def best_similarity(pairs: DataFrame, queries: DataFrame, right: DataFrame, on:
             vectors = table["vector"].combine_chunks()
             return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
 
-        if not (len(a) and len(b)):
-            a, b = a.slice(0, 0), b.slice(0, 0)
-        best = [np.zeros(0)]
-        if len(a):
-            asked, images = matrix(a), matrix(b).T
-            asked /= np.linalg.norm(asked, axis=1, keepdims=True)
-            best = [(asked[i : i + chunk] @ images).max(axis=1) for i in range(0, len(a), chunk)]
-        return pa.table([a["query_id"], a["member"], pa.array(np.concatenate(best))], names=["query_id", "member", "best"])
+        at, best = [np.zeros(0, dtype="int64")], [np.zeros(0)]
+        if len(a) and len(b):
+            asked, images = matrix(a), matrix(b)
+            length = np.linalg.norm(asked, axis=1)
+            names = [np.asarray(t["member"].to_pylist(), dtype=object) for t in (a, b)]
+            known, code = np.unique(np.concatenate(names), return_inverse=True)
+            code_a, code_b = np.where(length > 0, code[: len(a)], -1), code[len(a) :]
+            # Rows in group order, and where each group starts and ends in it.
+            order_a, order_b = np.argsort(code_a, kind="stable"), np.argsort(code_b, kind="stable")
+            ends = np.arange(len(known) + 1)
+            cut_a, cut_b = np.searchsorted(code_a[order_a], ends), np.searchsorted(code_b[order_b], ends)
+            for g in range(len(known)):
+                rows, shown = order_a[cut_a[g] : cut_a[g + 1]], images[order_b[cut_b[g] : cut_b[g + 1]]].T
+                for start in range(0, len(rows) if shown.size else 0, chunk):
+                    some = rows[start : start + chunk]
+                    at.append(some)
+                    best.append((asked[some] @ shown).max(axis=1) / length[some])
+        at = pa.array(np.concatenate(at))
+        return pa.table(
+            [a["query_id"].take(at), a["member"].take(at), pa.array(np.concatenate(best))],
+            names=["query_id", "member", "best"],
+        )
 
     asked = pairs.select("query_id", F.col(on).alias("member")).distinct()
     images = right.select(F.col(on).alias("member"), "vector")
+    shared = F.greatest(_block_count(pairs, LEFT_BLOCK), _block_count(images, RIGHT_BLOCK))
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("member").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
 
-    plan = blocks(asked, LEFT_BLOCK, "n_left").join(blocks(images, RIGHT_BLOCK, "n_right"), "member")
+    small = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    task = F.when(small, _block_of(["member"], shared).cast("string")).otherwise(F.concat(F.lit("own "), "member"))
+    plan = (
+        blocks(asked, LEFT_BLOCK, "n_left")
+        .join(blocks(images, RIGHT_BLOCK, "n_right"), "member")
+        .withColumn("task", task)
+    )
     # The vectors join last, when only their block is still to be shuffled to.
     a = (
         asked.join(plan, "member")
         .select(
-            "query_id", "member",
+            "query_id", "member", F.col("task").alias("left_task"),
             _block_of(["query_id"], F.col("n_left")).alias("lb"), _all_blocks(F.col("n_right")).alias("rb"),
         )
         .join(queries.select("query_id", "vector"), "query_id")
     )
     b = images.distinct().join(plan, "member").select(
-        "member", "vector",
+        "member", "vector", F.col("task").alias("right_task"),
         _block_of(["vector"], F.col("n_right")).alias("rb"), _all_blocks(F.col("n_left")).alias("lb"),
     )
     id_type = queries.schema["query_id"].dataType.simpleString()
-    met = a.groupBy("member", "lb", "rb").cogroup(b.groupBy("member", "lb", "rb"))
+    met = a.groupBy("left_task", "lb", "rb").cogroup(b.groupBy("right_task", "lb", "rb"))
     return (
         met.applyInArrow(compare, f"query_id {id_type}, member string, best double")
         .groupBy("query_id", "member")
