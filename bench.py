@@ -31,6 +31,14 @@ def timed(action) -> float:
     return round(time.perf_counter() - start, 3)
 
 
+def scale(folder: str) -> float | str:
+    name = folder.rstrip("/").rsplit("sf", 1)[-1]
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -91,7 +99,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+        "sf": scale(folder),
     }))
     spark.stop()
 

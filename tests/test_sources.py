@@ -162,9 +162,12 @@ def test_features_of_both_geometries(spark, tmp_path):
         assert rows(features.region_meta(df), "eco_id") == [(1,), (2,), (3,), (4,)]
     features.write_features(features.read_features(spark, lines), str(tmp_path / "out"))
     texts = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert sorted((t["properties"]["eco_id"], t["geometry"]["type"], len(t["geometry"]["coordinates"])) for t in texts) == [
-        (1, "Polygon", 1), (2, "MultiPolygon", 2),
-    ]
+    shapes = {t["properties"]["eco_id"]: t["geometry"] for t in texts}
+    assert set(shapes) == {1, 2, 3, 4} and shapes[3] is None and shapes[4] is None
+    assert (shapes[1]["type"], len(shapes[1]["coordinates"])) == ("Polygon", 1)
+    assert (shapes[2]["type"], len(shapes[2]["coordinates"])) == ("MultiPolygon", 2)
+    back = features.parse_features(spark.read.text(str(tmp_path / "out")), names=features.META)
+    assert rows(back.select("eco_id", F.size("parts").alias("n"))) == [(1, 1), (2, 2), (3, 0), (4, 0)]
 
 
 def tree(tmp_path, spark):

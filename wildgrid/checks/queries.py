@@ -133,7 +133,7 @@ def biome_toggle(t: Tables) -> DataFrame:
 
 def ecoregion_features(t: Tables) -> DataFrame:
     """Features written as GeoJSON texts, parsed again and measured."""
-    texts = feat.as_geojson(feat.with_shape(feat.valid_features(t.features)))
+    texts = feat.as_geojson(feat.valid_features(t.features))
     back = feat.parse_features(texts, names=feat.META)
     points = F.flatten(F.flatten("parts"))
     return back.select(
@@ -211,10 +211,8 @@ def roundtrip_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     tab.write_json(feat.region_meta(t.features), f"{folder}/ecoregions_meta.json")
     feat.write_features(t.features, f"{folder}/ecoregions.geojson")
     back = tab.read_tables(spark, folder, {n: f for n, f in tab.VIEWS.items() if n in written})
-    back["ecoregions_meta"] = spark.read.json(f"{folder}/ecoregions_meta.json")
-    back["ecoregion_shapes"] = feat.with_shape(spark.read.text(f"{folder}/ecoregions.geojson").transform(
-        lambda df: feat.parse_features(df, names=feat.META)
-    ))
+    back["ecoregions_meta"] = tab.read_records(spark, f"{folder}/ecoregions_meta.json", feat.META_SCHEMA)
+    back["ecoregion_shapes"] = feat.parse_features(spark.read.text(f"{folder}/ecoregions.geojson"), names=feat.META)
     return tab.catalog_status(back)
 
 

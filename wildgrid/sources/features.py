@@ -8,6 +8,8 @@ META = ["eco_id", "eco_name", "biome_num", "biome_name", "realm"]
 # Attribute names of the source features, in the order of META.
 SOURCE_META = ["ECO_ID", "ECO_NAME", "BIOME_NUM", "BIOME_NAME", "REALM"]
 
+META_SCHEMA = "eco_id int, eco_name string, biome_num int, biome_name string, realm string"
+
 _POLYGON = "array<array<array<double>>>"
 _MULTI = f"array<{_POLYGON}>"
 _GEOMETRY = "struct<type:string, coordinates:string>"
@@ -91,4 +93,5 @@ def as_geojson(features: DataFrame, name: str = "value") -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    as_geojson(with_shape(valid_features(features))).write.text(path)
+    """Valid features, one per line; one without a shape keeps a null geometry."""
+    as_geojson(valid_features(features)).write.text(path)
