@@ -413,4 +413,16 @@ select 'taxon_tree', count(*) from taxon_tree union all
 select 'species_list', count(*) from (select distinct taxon_id, quality_grade from joined where "rank" = 'species') x union all
 select 'ecoregions', count(*) from ecoregions where eco_id > 0 union all
 select 'ecoregion_h3_cells', count(*) from region_cells"""),
+    "roundtrip_sink": _sql(
+        ["obs_dump", "taxa_raw", "taxa", "photos_raw", "vernacular_raw", "description_raw", "ecoregions"],
+        _PHOTOS + "," + _VERNACULAR + "," + _DESCRIPTION, """
+select 'obs' as item, count(*) as n from obs_dump where latitude is not null and longitude is not null
+  and try_cast(round(try_cast(positional_accuracy as double)) as int) < 10000 union all
+select 'taxa_enriched', count(*) from taxa_raw where active union all
+select 'photos', count(*) from photos union all
+select 'taxon_join', count(*) from taxa union all
+select 'gbif_vernac', count(*) from vernacular union all
+select 'gbif_desc', count(*) from description union all
+select 'ecoregions_meta', count(*) from ecoregions where eco_id > 0 union all
+select 'ecoregion_shapes', count(*) from ecoregions where eco_id > 0"""),
 }
