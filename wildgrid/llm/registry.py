@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildgrid.llm import byte_bpe, decontaminate, quality, toxicity
+from wildgrid.llm import byte_bpe, decontaminate, line_dedup, quality, toxicity
 from wildgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(spark, table(spark, sf_dir, "documents"))
+
+
 def tokenizer(spark: SparkSession) -> byte_bpe.ByteBPE:
     import public_tokenizers
 
@@ -36,6 +40,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op9_quality": op9_quality,
@@ -43,12 +48,32 @@ QUERIES: dict[str, Query] = {
 
 # Words of a text as the contract of op6 cuts them.
 _WORDS = r"""
-list_filter(string_split_regex(
+[x FOR x IN string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']
 """
 
+# Blanks that op3 strips, as an SQL expression.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT rid, doc_id, pos, parts[pos] AS line,
+        translate(trim(parts[pos], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM docs, unnest(generate_series(1, len(parts))) AS t(pos)
+), frequent AS (
+    SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT rid, doc_id, pos, line, last IS NOT NULL AND doc_id <> last AS gone FROM lines LEFT JOIN frequent USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid
+""",
     "op6_decontaminate": f"""
 WITH docs AS (
     SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
