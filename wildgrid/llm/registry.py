@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildgrid.llm import byte_bpe, decontaminate, line_dedup, quality, simhash, toxicity
+from wildgrid.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, neighbours, quality, simhash, toxicity
 from wildgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,17 +38,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digests(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_neighbours": op7_neighbours,
+    "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 # Words of a text as the contract of op6 cuts them.
@@ -106,4 +121,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """,
+    "op10_licenses": licenses.oracle(),
 }
