@@ -3,9 +3,8 @@
 The documents are taken in batches by a hash of their id. A batch becomes a run: one row
 per line key with the number of documents and the largest id holding it. Before it is
 written it is merge-joined with every earlier run, so that each row knows whether its key
-was seen before. Runs are bucketed tables sorted by the key, so these joins and the
-compactions read them without a shuffle. Whenever ``fanout`` runs of a level have gathered,
-they are compacted into one of the next level before the next batch comes.
+was seen before: the anti-join that tells new lines from known ones. Runs are compacted by
+levels, see ``levels``; neither step shuffles an earlier run.
 
 Only keys that were seen before or that are frequent within one run can be frequent
 overall; for them alone the counts of all runs are added up. Their lines are then looked
@@ -23,12 +22,11 @@ as one document that is never the largest. All rows are returned. Empty tables g
 from __future__ import annotations
 
 import string
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wildgrid.llm.common import BLANKS, col, whole_text, written
-from wildgrid.session import fresh_path
+from wildgrid.llm.levels import LevelledRuns
 
 KEY = ["h1", "h2"]
 
@@ -52,80 +50,6 @@ def _hashed(text: Column, least: int) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-class LineRuns:
-    """Levelled runs of line keys: h1, h2, n (documents), last (largest id), seen (before)."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
-        # As many buckets as shuffle partitions, so that a bucket is written by one task.
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
-
-    @property
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (
-            run.write.format("parquet")
-            .option("path", fresh_path(self.spark, name))
-            .bucketBy(self.buckets, *KEY)
-            .sortBy(*KEY)
-            .saveAsTable(name)
-        )
-        return self.spark.table(name)
-
-    def _compact(self) -> None:
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) >= self.fanout:
-                runs, self.levels[k] = self.levels[k], []
-                merged = runs[0]
-                for run in runs[1:]:
-                    merged = merged.join(run.select(*KEY, *[F.col(c).alias(f"_{c}") for c in ("n", "last", "seen")]),
-                                         KEY, "full").select(
-                        *KEY,
-                        (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
-                        F.greatest("last", "_last").alias("last"),
-                        (F.coalesce("seen", F.lit(False)) | F.coalesce("_seen", F.lit(False))).alias("seen"),
-                    )
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(self._write(merged))
-
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch of (h1, h2, doc), one row per key and document."""
-        self._compact()
-        run = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
-        marks = []
-        for k, earlier in enumerate(self.runs):
-            marks.append(f"_in{k}")
-            run = run.join(earlier.select(*KEY, F.lit(True).alias(marks[-1])), KEY, "left")
-        seen = F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
-        run = run.select(*KEY, "n", "last", seen.alias("seen"))
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(run))
-
-    def frequent(self, least: int) -> DataFrame:
-        """(h1, h2, last) of the keys held by at least ``least`` documents of all batches."""
-        runs = self.runs
-        if not runs:
-            raise ValueError("no batch was added")
-
-        def union(parts: list[DataFrame]) -> DataFrame:
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            return out
-
-        # A run row that was not seen before and is rare matters only if a later run has it.
-        asked = union([run.filter(F.col("seen") | (F.col("n") >= least)).select(*KEY) for run in runs]).distinct()
-        rows = union([run.select(*KEY, "n", "last").join(asked, KEY, "left_semi") for run in runs])
-        total = rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-        return total.filter(F.col("n") >= least).select(*KEY, "last")
-
-
 def drop_lines(
     spark: SparkSession,
     documents: DataFrame,
@@ -153,11 +77,12 @@ def drop_lines(
         "line_keys",
     )
     lines = docs.select("doc", "text_hash", F.inline("keys"))
-    store = LineRuns(spark)
+    store = LevelledRuns(spark, KEY, {"n": "sum", "last": "max"})
     for k in range(batches):
         batch = lines.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
-        store.add(batch.select(*KEY, "doc").distinct())
-    frequent = store.frequent(least_documents)
+        once = batch.select(*KEY, "doc").distinct()
+        store.add(once.select(*KEY, F.lit(1).cast("long").alias("n"), F.col("doc").alias("last")))
+    frequent = store.totals(F.col("n") >= least_documents).filter(F.col("n") >= least_documents).select(*KEY, "last")
     # Lines to drop, by document and text, as two rows may share an id.
     gone = (
         lines.join(frequent, KEY)
