@@ -17,10 +17,10 @@ scores are the bias.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -70,49 +70,61 @@ def matches(text: str | None) -> list[str]:
     return [f"/{name}" for name, pattern in PATTERNS.items() if pattern.search(text or "")]
 
 
-def copy_weights(seen: list[set[str]]) -> np.ndarray:
-    """Weight of each text: a group of near copies counts as one text.
-
-    Texts are taken for copies if the three least hashes of their long words agree, or of
-    all their words if they have few long ones. Without this, the ordinary words of a text
-    that was copied often would seem to go with its label.
-    """
-    def key(found: set[str]) -> tuple:
-        words = [w for w in found if w[-1] != "-" and w[0] != "/"]
-        rare = [w for w in words if len(w) >= 8]
-        return tuple(sorted(zlib.crc32(w.encode()) for w in (rare if len(rare) >= 3 else words))[:3])
-
-    keys = [key(found) for found in seen]
-    size = Counter(keys)
-    return np.array([1.0 / size[k] if k else 1.0 for k in keys])
-
-
-def telling(seen: list[set[str]], target: np.ndarray, weights: np.ndarray, toxic_only: bool) -> list[str]:
-    """Signs that go with the class beyond chance, in a sample of any size.
-
-    A sign counts if its share of toxic texts differs from the overall share with a
-    divergence that no more than one in twenty samples would show for any of the signs.
-    """
-    total: dict[str, float] = {}
-    toxic: dict[str, float] = {}
-    for words, y, weight in zip(seen, target.tolist(), weights.tolist()):
-        for w in words:
-            total[w] = total.get(w, 0.0) + weight
-            if y:
-                toxic[w] = toxic.get(w, 0.0) + y * weight
-    base = float((target * weights).sum() / weights.sum()) if len(weights) else 0.5
-    base = min(max(base, 1e-4), 1 - 1e-4)
-    limit = math.log(max(len(total), 1) / 0.05)
-    least = limit / -math.log(min(base, 1 - base))
-    out = []
-    for w, n in total.items():
-        if n < least:
-            continue
-        share = min(max(toxic.get(w, 0.0) / n, 1e-9), 1 - 1e-9)
-        gain = n * (share * math.log(share / base) + (1 - share) * math.log((1 - share) / (1 - base)))
-        if gain > limit and (share > max(0.5, base) or not toxic_only):
-            out.append((-gain, w))
-    return [w for _, w in sorted(out)]
+class Sample:
+    """Signs and patterns of a sample of texts, held as numbers of names."""
+
+    def __init__(self, seen: Iterable[Iterable[str]]):
+        number: dict[str, int] = {}
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in found], np.int32) for found in seen]
+        self.names = list(number)
+        self.flat = np.concatenate([np.zeros(0, np.int32), *self.texts])
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+
+    def weighed(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of the texts that have each name."""
+        return np.bincount(self.flat, np.repeat(weights, self.sizes), len(self.names))
+
+    def found(self, wanted: Iterable[str]) -> list[set[str]]:
+        """Of each text, the names among ``wanted``."""
+        wanted = set(wanted)
+        asked = np.array([n in wanted for n in self.names], bool)
+        return [{self.names[k] for k in ids[asked[ids]]} for ids in self.texts]
+
+    def copy_weights(self) -> np.ndarray:
+        """Weight of each text: a group of near copies counts as one text.
+
+        Texts are taken for copies if the three least hashes of their long words agree, or
+        of all their words if they have few long ones. Without this, the ordinary words of
+        a text that was copied often would seem to go with its label.
+        """
+        hashes = np.array([zlib.crc32(n.encode()) for n in self.names], np.int64)
+        word = np.array([n[-1] != "-" and n[0] != "/" for n in self.names], bool)
+        long = word & np.array([len(n) >= 8 for n in self.names], bool)
+        keys = []
+        for ids in self.texts:
+            rare = ids[long[ids]] if len(ids) else ids
+            ids = rare if len(rare) >= 3 else ids[word[ids]] if len(ids) else ids
+            keys.append(tuple(np.sort(hashes[ids])[:3].tolist()) if len(ids) else ())
+        size = Counter(keys)
+        return np.array([1.0 / size[k] if k else 1.0 for k in keys])
+
+    def telling(self, target: np.ndarray, weights: np.ndarray, toxic_only: bool) -> list[str]:
+        """Signs that go with the class beyond chance, in a sample of any size.
+
+        A sign counts if its share of toxic texts differs from the overall share with a
+        divergence that no more than one in twenty samples would show for any of the signs.
+        """
+        if not len(self.names):
+            return []
+        n, toxic = self.weighed(weights), self.weighed(weights * target)
+        base = float(np.clip((target * weights).sum() / weights.sum(), 1e-4, 1 - 1e-4))
+        share = np.clip(toxic / np.maximum(n, 1e-9), 1e-9, 1 - 1e-9)
+        gain = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+        chosen = gain > np.log(len(self.names) / 0.05)
+        if toxic_only:
+            chosen &= share > max(0.5, base)
+        names = [(-gain[k], self.names[k]) for k in np.flatnonzero(chosen)]
+        return [w for _, w in sorted(names) if w[0] != "/"]
 
 
 @dataclass
@@ -220,24 +232,28 @@ class ToxicityModel:
         return sigmoid(self.slope * raw + self.intercept)
 
 
-def fit(seen: list[set[str]], labels: np.ndarray) -> ToxicityModel:
+def fit(seen: Iterable[Iterable[str]], labels: np.ndarray) -> ToxicityModel:
     """Model from the signs and patterns of a sample of texts and their training labels."""
-    if not seen:
+    sample = Sample(seen)
+    if not sample.texts:
         return ToxicityModel()
-    single = copy_weights(seen)
-    voters = Voters(frozenset(telling(seen, labels, single, True)))
-    votes = np.array([voters.votes(found) for found in seen], np.int64)
+    single = sample.copy_weights()
+    voters = Voters(frozenset(sample.telling(labels, single, True)))
+    asked = {*voters.mined, *_EVERY_LIST, *(f"/{name}" for name in PATTERNS)}
+    votes = np.array([voters.votes(found) for found in sample.found(asked)], np.int64)
     posterior = LabelModel().fit(votes, float((labels.sum() + 1) / (len(labels) + 2)))
-    words = [{w for w in found if w[0] != "/"} for found in seen]
-    chosen = sorted({*telling(words, posterior, single, False), *(_EVERY_LIST & set().union(*words))})
-    x = np.array([[w in found for w in chosen] for found in words], np.float64).reshape(len(words), len(chosen))
+    chosen = sorted({*sample.telling(posterior, single, False), *(_EVERY_LIST & set(sample.names))})
+    at = {w: k for k, w in enumerate(chosen)}
+    x = np.zeros((len(sample.texts), len(chosen)))
+    for row, found in zip(x, sample.found(chosen)):
+        row[[at[w] for w in found]] = 1.0
     weights = fit_logistic(x, posterior, 1e-3, weights=single)
     model = ToxicityModel(dict(zip(chosen, weights[:-1].tolist())), float(weights[-1]))
     model.slope, model.intercept = calibrate(x @ weights[:-1] + weights[-1], labels)
     return model
 
 
-def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, fit_rows: int = 12000) -> ToxicityModel:
+def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, fit_rows: int = 10000) -> ToxicityModel:
     """Fit on at most ``fit_rows`` labelled documents; only their signs reach the driver."""
     bound_batches(spark)
 
@@ -247,7 +263,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, fit_rows
 
     known = training_rows(documents, labels, "toxic", ~held_out(F.col("doc_id")), fit_rows)
     rows = known.select("label", seen("text").alias("seen")).toPandas()
-    return fit([set(s.split()) for s in rows["seen"]], rows["label"].to_numpy(np.float64))
+    return fit((s.split() for s in rows["seen"]), rows["label"].to_numpy(np.float64))
 
 
 def score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
