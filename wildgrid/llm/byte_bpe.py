@@ -14,6 +14,7 @@ other columns pass through, and an empty table gives an empty one.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wildgrid.llm.common import bound_batches, whole_text
 
-# A merge tree packs (rank, position) into one number.
-_POSITION_BITS = 40
-_POSITION = (1 << _POSITION_BITS) - 1
+# A node of the tree packs rank and position into one number; this one stands for no pair.
 _NONE = 1 << 80
-# Merged pieces are remembered up to this many per worker, then forgotten together.
-CACHE_ENTRIES = 200_000
+# Merged pieces that a worker remembers: so many new ones, and as many that were met before those.
+CACHE_ENTRIES = 250_000
 CACHE_PIECE = 64
 # Pieces of a text that are joined at a time.
 _PIECES = 1 << 20
@@ -45,46 +44,48 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1
-    while size < n:
-        size *= 2
+    bits = (n - 1).bit_length()
+    size = 1 << bits
+    position = size - 1
+    rank_of = ranks.get
     tree = [_NONE] * (2 * size)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-
-    def pair(start: int, end: int) -> int:
-        rank = ranks.get(piece[start:end]) if end - start <= longest else None
-        return _NONE if rank is None else rank << _POSITION_BITS | start
-
-    def put(at: int, value: int) -> None:
-        at += size
-        tree[at] = value
-        at >>= 1
-        while at:
-            left, right = tree[2 * at], tree[2 * at + 1]
-            least = left if left < right else right
-            if tree[at] == least:
-                return
-            tree[at] = least
-            at >>= 1
-
     for i in range(n - 1):
-        tree[size + i] = pair(i, i + 2)
-    for at in range(size - 1, 0, -1):
+        rank = rank_of(piece[i : i + 2])
+        if rank is not None:
+            tree[size + i] = rank << bits | i
+    for at in range(position, 0, -1):
         left, right = tree[2 * at], tree[2 * at + 1]
         tree[at] = left if left < right else right
-    while tree[1] != _NONE:
-        start = tree[1] & _POSITION
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    while (least := tree[1]) != _NONE:
+        start = least & position
         swallowed = after[start]
         end = after[swallowed]
         after[start] = end
+        # The three leaves that change; a pair longer than any token has no rank.
+        tree[size + swallowed] = tree[size + start] = _NONE
+        changed = [swallowed, start]
         if end < n:
             before[end] = start
-        put(swallowed, _NONE)
-        put(start, pair(start, after[end]) if end < n else _NONE)
-        left = before[start]
-        if left >= 0:
-            put(left, pair(left, end))
+            if after[end] - start <= longest and (rank := rank_of(piece[start : after[end]])) is not None:
+                tree[size + start] = rank << bits | start
+        previous = before[start]
+        if previous >= 0:
+            changed.append(previous)
+            rank = rank_of(piece[previous:end]) if end - previous <= longest else None
+            tree[size + previous] = _NONE if rank is None else rank << bits | previous
+        # Upwards from each leaf, as far as a node changes.
+        for at in changed:
+            at = (at + size) >> 1
+            while at:
+                least, right = tree[2 * at], tree[2 * at + 1]
+                if right < least:
+                    least = right
+                if tree[at] == least:
+                    break
+                tree[at] = least
+                at >>= 1
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -105,7 +106,8 @@ class Tokenizer:
         self.pieces = _Pieces(self)
 
     def packed(self, piece: str) -> bytes:
-        return np.array(merge_piece(piece.encode(), self.ranks, self.longest), "<u4").tobytes()
+        ids = merge_piece(piece.encode(), self.ranks, self.longest)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if len(text) <= _PIECES:
@@ -120,15 +122,22 @@ class Tokenizer:
 
 
 class _Pieces(dict):
-    """Packed ids of pieces met before; merges those that are new."""
+    """Packed ids of pieces met before; merges those that are new.
+
+    When full, it becomes the older half; pieces found there move back to the newer.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.packed(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.tokenizer.packed(piece)
         if len(piece) <= CACHE_PIECE:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
