@@ -98,7 +98,7 @@ RULES = [
 ]
 
 # Every known sentence holds one of these.
-CUES = ["licens", "permission", "redistribut", "warrant", "copyright", "public domain", "terms of the gnu"]
+CUES = ["licens", "permission", "redistribut", "warrant", "copyright", "public domain", "terms of the gnu", "agreed to in writing"]
 
 
 def normal(sentence: str) -> str:

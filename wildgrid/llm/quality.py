@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wildgrid.llm.common import bound_batches, smallest_by_hash, training_rows, whole_text
@@ -101,8 +102,12 @@ class QualityModel:
         return sigmoid(self.slope * self.raw(x) + self.intercept)
 
 
-def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float, decay: float = 1e-4, steps: int = 600) -> np.ndarray:
-    """Weights, bias last, that minimise the non-negative risk of the logistic loss."""
+def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float, pull: float = 5.0, steps: int = 600) -> np.ndarray:
+    """Weights, bias last, that minimise the non-negative risk of the logistic loss.
+
+    ``pull`` is the strength of the weight decay, counted in rows.
+    """
+    decay = 1e-4 + pull / max(len(p), 1)
     p, u = with_bias(p), with_bias(u)
 
     def gradient(w: np.ndarray) -> np.ndarray:
@@ -151,16 +156,16 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, fit_rows
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([style(t) for t in texts], dtype=object)
 
-    def matrix(rows: list) -> np.ndarray:
-        return np.array([r.x for r in rows]).reshape(-1, WIDTH)
+    def matrix(rows: pa.Table) -> np.ndarray:
+        return rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
     fold = ~held_out(F.col("doc_id"))
     known = training_rows(documents, labels, "quality", fold, fit_rows)
-    known = known.select("label", measured("text").alias("x")).collect()
+    known = known.select("label", measured("text").alias("x")).toArrow()
     ids = smallest_by_hash(documents.select("doc_id").filter("doc_id is not null"), "doc_id", fit_rows).distinct()
     texts = documents.select("doc_id", whole_text("text").alias("text"))
-    web = texts.join(F.broadcast(ids), "doc_id").select(measured("text").alias("x")).collect()
-    truth = np.array([float(r.label) for r in known])
+    web = texts.join(F.broadcast(ids), "doc_id").select(measured("text").alias("x")).toArrow()
+    truth = known.column("label").to_numpy().astype(float)
     x = matrix(known)
     return fit(x[truth == 1], matrix(web), x, truth)
 

@@ -2,9 +2,8 @@
 
 Many voters look at a text: fixed lexicons and patterns, and lexicons and word beginnings
 that training labels point to. None decides alone. A generative label model estimates, by
-expectation-maximisation over the votes, how accurate each voter is and which voters
-depend on each other: voters whose votes go together beyond what the class explains
-share one joint table. Its posterior labels train a linear classifier over words and word
+expectation-maximisation over the votes, how accurate each voter is; voters whose votes go
+together beyond what one class behind them explains share one joint table. Its posterior labels train a linear classifier over words and word
 beginnings, which scores every text.
 
 Fitting uses a bounded sample (``fit_rows`` labelled documents outside the held-out fold,
@@ -150,7 +149,7 @@ class Voters:
 class LabelModel:
     """Generative model of the votes: class, and one table of joint votes for each clique."""
 
-    def __init__(self, clique_size: int = 4, dependence: float = 0.02, rounds: int = 30):
+    def __init__(self, clique_size: int = 4, dependence: float = 0.15, rounds: int = 30):
         self.clique_size, self.dependence, self.rounds = clique_size, dependence, rounds
 
     def fit(self, votes: np.ndarray, prior: float) -> np.ndarray:
@@ -159,12 +158,10 @@ class LabelModel:
         if not n:
             return np.zeros(0)
         self.prior = float(np.clip(prior, 0.005, 0.995))
-        self.cliques = [(k,) for k in range(m)]
-        # At first every voter is trusted a little: as a vote for what it says.
-        start = np.log(self.prior / (1 - self.prior)) + 1.5 * votes.sum(axis=1)
-        posterior = self._maximise(votes, sigmoid(start))
-        self.cliques = self._dependent(votes, posterior)
-        posterior = self._maximise(votes, posterior)
+        self.cliques = self._dependent(votes)
+        # At first every clique is trusted a little: as one vote for what it says.
+        said = sum(np.sign(votes[:, list(c)].sum(axis=1)) for c in self.cliques)
+        posterior = self._maximise(votes, sigmoid(np.log(self.prior / (1 - self.prior)) + 1.5 * said))
         self.accuracy = [self._accuracy(votes[:, k], posterior) for k in range(m)]
         return posterior
 
@@ -193,19 +190,28 @@ class LabelModel:
             posterior = new
         return posterior
 
-    def _dependent(self, votes: np.ndarray, posterior: np.ndarray) -> list[tuple[int, ...]]:
-        """Voters joined while their votes depend on each other within a class."""
-        found = []
-        for a, b in combinations(range(votes.shape[1]), 2):
-            code, information = self._codes(votes, (a, b)), 0.0
-            for weight in (posterior, 1 - posterior):
-                joint = np.bincount(code, weight, 9).reshape(3, 3) / max(weight.sum(), 1e-9)
-                apart = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
-                some = joint > 0
-                information += weight.mean() * float((joint[some] * np.log(joint[some] / apart[some])).sum())
-            if information > self.dependence:
-                found.append((-information, a, b))
-        clique = {k: (k,) for k in range(votes.shape[1])}
+    def _dependent(self, votes: np.ndarray) -> list[tuple[int, ...]]:
+        """Voters joined if they agree more than one common class explains.
+
+        Under a single class behind all votes, the covariance of two voters is the product
+        of their ties to the class; a voter's tie follows from its covariances with pairs of
+        others. What the covariance has beyond this product is dependence.
+        """
+        m = votes.shape[1]
+        together = np.cov(votes.T, bias=True).reshape(m, m) if len(votes) > 1 else np.zeros((m, m))
+        spread = np.sqrt(np.maximum(np.diag(together), 1e-12))
+        known = np.abs(together) > 1e-6
+        tie = np.zeros(m)
+        for i in range(m):
+            squares = [
+                together[i, j] * together[i, k] / together[j, k]
+                for j, k in combinations([x for x in range(m) if x != i], 2)
+                if known[i, j] and known[i, k] and known[j, k]
+            ]
+            tie[i] = np.sqrt(max(float(np.median(squares)), 0.0)) if squares else 0.0
+        beyond = (together - np.outer(tie, tie)) / np.outer(spread, spread)
+        found = [(-beyond[a, b], a, b) for a, b in combinations(range(m), 2) if beyond[a, b] > self.dependence]
+        clique = {k: (k,) for k in range(m)}
         for _, a, b in sorted(found):
             if clique[a] != clique[b] and len(clique[a]) + len(clique[b]) <= self.clique_size:
                 joined = tuple(sorted(clique[a] + clique[b]))
