@@ -42,9 +42,9 @@ def test_checklist_dump_skips_only_long_lines(spark, tmp_path):
 
 
 def test_dumps_to_stored_tables(spark, tmp_path):
-    """Dumps through the build functions, one of them with a bad line each."""
+    """Dumps through the build functions, twice: a second build replaces the first."""
     raw, out = tmp_path / "raw", str(tmp_path / "out")
-    write(raw / "taxa.csv", "taxon_id\tancestry\trank_level\trank\tname\tactive\n1\t\t70\tkingdom\tAnimalia\ttrue\n2\t1\t10\tspecies\tMusca\ttrue\n3\t1\t10\tspecies\tGone\tfalse\n4\t1\t10\tspecies\tLong\ttrue\tx\n")
+    write(raw / "taxa.csv", "taxon_id\tancestry\trank_level\trank\tname\tactive\n1\t\t70\tkingdom\tAnimalia\ttrue\n2\t1\t10\tspecies\tMusca\ttrue\n3\t1\t10\tspecies\tGone\tfalse\n")
     write(raw / "photos.csv", "photo_id\tphoto_uuid\tobservation_uuid\tobserver_id\textension\tlicense\twidth\theight\tposition\n5\tp\ta\t1\tjpg\tCC\t10\t20\t0\n6\tp\ta\t1\tjpg\tCC\t10\t20\t1\n")
     write(raw / "observations.csv", OBS_HEADER + "a\tx\t1\t1.5\t2.5\t10\t2\tresearch\t2012-05-06\t0.5\n")
     write(raw / "observers.csv", "observer_id\tlogin\tname\n1\tana\tAna\n")
@@ -53,10 +53,11 @@ def test_dumps_to_stored_tables(spark, tmp_path):
     write(raw / "VernacularName.tsv", "taxonID\tvernacularName\tlanguage\n9\tmosca\tes\n9\tmouche\tfr\n")
     write(raw / "Description.tsv", "taxonID\ttype\tdescription\tlanguage\tsource\tlicense\n9\tbiology\ttext\ten\ts\tl\n9\tcitation\ttext\ten\ts\tl\n")
     write(raw / "Multimedia.tsv", "taxonID\tidentifier\tlicense\tcreator\n9\thttp://x\tCC\tme\n")
-    cleaning.build_observations(spark, str(raw / "observations.csv"), f"{out}/obs.parquet")
-    cleaning.build_taxa(spark, str(raw / "taxa.csv"), f"{out}/taxa_enriched.parquet")
-    cleaning.build_photos(spark, str(raw / "photos.csv"), f"{out}/photos.parquet")
-    cleaning.build_checklist(spark, str(raw), out)
+    for _ in range(2):
+        cleaning.build_observations(spark, str(raw / "observations.csv"), f"{out}/obs.parquet")
+        cleaning.build_taxa(spark, str(raw / "taxa.csv"), f"{out}/taxa_enriched.parquet")
+        cleaning.build_photos(spark, str(raw / "photos.csv"), f"{out}/photos.parquet")
+        cleaning.build_checklist(spark, str(raw), out)
     delimited.read_observers(spark, str(raw / "observers.csv"))
     assert sorted(tables.register_views(spark, out)) == sorted(tables.VIEWS)
     got = spark.sql("""
@@ -277,3 +278,51 @@ def test_embedding_report(spark, tmp_path):
     assert tuple(inventory.embedding_totals(report).first()) == (3, 4)
     first = inventory.embedding_report(spark, str(tmp_path / "v"), 2).first()
     assert (first["rows"], first["sample_count"], first["norm_max"]) == (4, 2, 5.0)
+
+
+def test_quotes_and_line_breaks_in_free_text(spark, tmp_path):
+    write(tmp_path / "Description.tsv", "taxonID\ttype\tdescription\tlanguage\tsource\tlicense\n"
+          '1\tbiology\t"He said ""hi"" there"\ten\ts\tl\n2\tbiology\t"two\nlines\tand a tab"\ten\ts\tl\n3\tbiology\tplain\ten\ts\tl\textra\n')
+    got = delimited.read_checklist(spark, str(tmp_path), "description")
+    assert rows(got.select("taxonID", "description")) == sorted([(1, 'He said "hi" there'), (2, "two\nlines\tand a tab")], key=repr)
+    bad = delimited.rejected_lines(spark, str(tmp_path / "Description.tsv"), schemas.CHECKLIST_DESCRIPTION, drop="long", multi_line=True)
+    assert [r.reason for r in bad.collect()] == ["too many fields"]
+
+
+def test_long_taxon_line_is_an_error(spark, tmp_path):
+    write(tmp_path / "taxa.csv", "taxon_id\tancestry\trank_level\trank\tname\tactive\n4\t1\t10\tspecies\tLong\ttrue\tx\n")
+    with pytest.raises(Exception, match="too many fields"):
+        delimited.read_taxa(spark, str(tmp_path / "taxa.csv")).collect()
+
+
+def test_no_document_is_lost(spark):
+    small = '{"name": "n%d", "family": "f"}'
+    docs = spark.createDataFrame([
+        ("twice", '{"a": {"name": "old"}, "b": {"name": "B", "name": "C"}, "a": {"name": "A"}}'),
+        ("nan", '[{"name": "x", "score": NaN}, {"name": "y"}, 5]'),
+        ("bad", "{not json"), ("text", "words"),
+    ], "source_file string, text string")
+    got = documents.extract_records(docs).select("source_file", "name")
+    assert rows(got) == sorted([("twice", "A"), ("twice", "C"), ("nan", "x"), ("nan", "y")])
+    rejected = documents.rejected_documents(docs).select("source_file", "position", "reason")
+    assert rows(rejected) == sorted([("bad", None, "not valid JSON"), ("nan", 2, "not an object"), ("text", None, "neither object nor list")], key=repr)
+    # Larger than one variant may be: 30 MB in one text, 140 MB in one list.
+    long = spark.range(1).select(F.lit("long").alias("source_file"), F.concat(
+        F.lit('[{"name": "big", "note": "'), F.repeat(F.lit("z"), F.lit(30_000_000)), F.lit('"}, {"name": "next"}]')).alias("text"))
+    assert "next" in {r["name"] for r in documents.extract_records(long).select("name").collect()}
+    padded = small[:-1] % 1 + ', "note": "' + "p" * 4000 + '"}, '
+    many = spark.range(1).select(F.lit("many").alias("source_file"), F.concat(
+        F.lit("["), F.repeat(F.lit(padded), F.lit(35_000)), F.lit(small % 2 + "]")).alias("text"))
+    assert documents.extract_records(many).count() == 35_001
+
+
+def test_feature_ids_and_layouts(spark, tmp_path):
+    feature = '{"type": "Feature", "properties": {"ECO_ID": 480.0, "ECO_NAME": "E", "BIOME_NUM": 1.0, "BIOME_NAME": "B", "REALM": "R"}, "geometry": null}'
+    write(tmp_path / "lines.json", feature + "\n\n")
+    write(tmp_path / "collection.json", '{"type": "FeatureCollection", "features": [\n' + feature + "\n]}")
+    one = features.read_features(spark, str(tmp_path / "lines.json"))
+    whole = features.read_features(spark, str(tmp_path / "collection.json"), one_per_line=False)
+    for got in (one, whole):
+        assert [(r.eco_id, r.biome_num) for r in features.valid_features(got).collect()] == [(480, 1)]
+    with pytest.raises(Exception, match="not one feature per line"):
+        features.read_features(spark, str(tmp_path / "collection.json")).collect()

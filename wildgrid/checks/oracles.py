@@ -396,7 +396,7 @@ select 'embeddings.parquet' as file, count(*) as rows, count(n) as sample_count,
     "embedding_profile_sample": f"""
 select 'embeddings.parquet' as file, (select count(*) from embeddings) as rows, count(n) as sample_count, cast(max(dim) as int) as dim, {_PROFILE_STATS}
 from ({_NORMS}) x where nth <= 100""",
-    "embedding_totals": "select cast(14 as bigint) as total_files, count(*) as estimated_total_vectors from embeddings",
+    "embedding_totals": "select count(*) as estimated_total_vectors from embeddings",
     "external_species": _sql([], _EXTERNAL, "select * from external_species"),
     "external_page": _sql([], _EXTERNAL + """,
 scoped as (select * from external_species where regexp_matches(name, 'brand|ring', 'i'))""", """

@@ -174,6 +174,11 @@ def catalog_status(t: Tables) -> DataFrame:
     return tab.catalog_status(tables, feat.valid_features(t.features), t.region_cells)
 
 
+def embedding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = inv.embedding_profile(inv.read_vectors(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+    return inv.embedding_totals(profile.withColumn("present", F.lit(True))).drop("total_files")
+
+
 def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe of the event properties, one document per event."""
     events = base_table(spark, sf_dir, "events")
@@ -183,17 +188,6 @@ def json_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(probe, "keys_sample")
 
 
-def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest of the files of the folder, each reported with a copy that is not there."""
-    present = inv.file_inventory(spark, sf_dir)
-    gone = present.withColumn("path", F.replace("path", F.lit(".parquet"), F.lit(".old.parquet")))
-    return inv.manifest(present.unionByName(gone), present, sf_dir, "external")
-
-
-def parquet_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.probe_parquet(inv.file_inventory(spark, sf_dir))
-
-
 def roundtrip_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored table written to a fresh folder and read back, with its row count."""
     t = Tables(spark, sf_dir)
@@ -294,16 +288,12 @@ QUERIES: dict[str, Query] = {
     "retrieval_known": _on(lambda t: t.retrieval()["known"]),
     "embedding_profile": embedding_profile,
     "embedding_profile_sample": lambda spark, sf_dir: embedding_profile(spark, sf_dir, 100),
-    "embedding_totals": lambda spark, sf_dir: inv.embedding_totals(inv.embedding_report(spark, sf_dir)),
+    "embedding_totals": embedding_totals,
     # External list
     "external_species": _on(lambda t: t.external),
     "external_page": _on(lambda t: external.external_page(t.external, "brand|ring", 2, 24, "obs")),
     # Files
-    "file_inventory": lambda spark, sf_dir: inv.file_inventory(spark, sf_dir),
-    "image_counts": lambda spark, sf_dir: inv.image_counts(inv.file_inventory(spark, sf_dir)),
-    "parquet_probe": parquet_probe,
     "json_probe": json_probe,
-    "manifest_status": manifest_status,
     "catalog_status": _on(catalog_status),
     "roundtrip_sink": roundtrip_sink,
 }

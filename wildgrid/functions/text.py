@@ -10,8 +10,8 @@ PHOTO_SIZE = "/medium."
 
 
 def name_key(name: Column) -> Column:
-    """Lower case, surrounding white space removed."""
-    return F.regexp_replace(F.lower(name), r"^\s+|\s+$", "")
+    """Lower case, surrounding white space of any kind removed."""
+    return F.regexp_replace(F.lower(name), r"(?U)^\s+|\s+$", "")
 
 
 def slug(name: Column) -> Column:

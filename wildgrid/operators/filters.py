@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wildgrid.functions.text import matches_ignoring_case
 
@@ -46,29 +47,32 @@ def choices(selection: str | Iterable[str] | None) -> list[str]:
     return selection.split(",") if isinstance(selection, str) else list(selection)
 
 
+# Filter field that selects values of each rank column.
+RANK_FIELDS = {"kingdom": "kingdom", "phylum": "phylum", "class": "klass", "order": "order"}
+
+
 def by_taxa(df: DataFrame, f: Filters) -> DataFrame:
-    """Exact match per level; a level the table does not have is ignored."""
-    for column, selection in [
-        ("kingdom", f.kingdom), ("phylum", f.phylum), ("class", f.klass), ("order", f.order),
-    ]:
-        wanted = choices(selection)
-        if wanted and column in df.columns:
-            df = df.filter(F.col(f"`{column}`").isin(wanted))
-    return df
+    """Rows whose ranks are all among the selected ones, as one predicate.
+
+    Only ranks that are selected, and that the table has, take part.
+    """
+    selected = {rank: choices(getattr(f, RANK_FIELDS[rank])) for rank in RANK_FIELDS.keys() & set(df.columns)}
+    tests = [F.col(f"`{rank}`").isin(names) for rank, names in sorted(selected.items()) if names]
+    return df.filter(reduce(Column.__and__, tests)) if tests else df
 
 
 def by_ecoregions(df: DataFrame, f: Filters, region_cells: DataFrame | None) -> DataFrame:
-    """Rows whose cell belongs to a selected region.
+    """Rows whose cell belongs to a selected region, by a left-semi join.
 
-    All rows stay if nothing is selected, if the table has no coarse cell, or if
-    the selected regions have no cells at all. Both tests are subqueries, so the
-    filter stays lazy and moves below an aggregate that groups by the cell.
+    A selection that names no cell selects everything, as does a table without
+    cells. Whether there are cells is asked of the cell table at once, one short
+    job, so that the plan holds no more than the join.
     """
-    ids = [int(i) for i in choices(f.eco_ids)]
-    if not ids or region_cells is None or "h3_r3" not in df.columns:
+    regions = list(map(int, choices(f.eco_ids)))
+    if region_cells is None or not regions or "h3_r3" not in df.columns:
         return df
-    cells = region_cells.filter(F.col("eco_id").isin(ids)).select("h3_r3")
-    return df.filter(F.col("h3_r3").isin(cells) | ~cells.exists())
+    cells = region_cells.filter(F.col("eco_id").isin(regions)).select("h3_r3").distinct()
+    return df if cells.isEmpty() else df.join(cells, "h3_r3", "left_semi").select(df.columns)
 
 
 def by_grade(df: DataFrame, f: Filters) -> DataFrame:

@@ -135,7 +135,7 @@ def best_similarity(pairs: DataFrame, queries: DataFrame, right: DataFrame, on:
                 for start in range(0, len(rows) if shown.size else 0, chunk):
                     some = rows[start : start + chunk]
                     at.append(some)
-                    best.append((asked[some] @ shown).max(axis=1) / length[some])
+                    best.append(np.round((asked[some] @ shown).max(axis=1) / length[some], SCORE_PLACES))
         at = pa.array(np.concatenate(at))
         return pa.table(
             [a["query_id"].take(at), a["member"].take(at), pa.array(np.concatenate(best))],

@@ -151,7 +151,7 @@ SORTING = {
 }
 
 
-def build_aggregates(tables: dict[str, DataFrame], out: str, only: list[str] | None = None) -> None:
+def build_aggregates(tables: dict[str, DataFrame], out: str, only: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write the aggregate tables, all or those named.
 
     ``tables`` holds obs, taxa_enriched, photos, observers, taxon_join and
@@ -169,4 +169,4 @@ def build_aggregates(tables: dict[str, DataFrame], out: str, only: list[str] | N
     }
     for name, plan in plans.items():
         if only is None or name in only:
-            write_table(plan(), f"{out}/{name}.parquet", sort_by=SORTING[name])
+            write_table(plan(), f"{out}/{name}.parquet", sort_by=SORTING[name], mode=mode)

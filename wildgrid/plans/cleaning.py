@@ -21,19 +21,23 @@ JUNK_DESCRIPTIONS = ["materials examined", "materials_examined", "citation", "re
 def located(observations: DataFrame) -> DataFrame:
     """Rows with both coordinates and an accuracy below the limit.
 
-    A numeric accuracy is compared as it is, so the test reaches the scan. A
-    text is read as a number and rounded; NULL or unreadable drops the row.
+    An integral accuracy is compared as it is, so the test reaches the scan. Any
+    other is read as a number and rounded; NULL or unreadable drops the row.
     """
     accuracy = F.col("positional_accuracy")
-    if isinstance(observations.schema["positional_accuracy"].dataType, T.StringType):
+    if not _is_integral(observations):
         accuracy = whole_number(accuracy)
     return observations.filter(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (accuracy < MAX_ACCURACY)
     )
 
 
-def whole_number(text: Column) -> Column:
-    return F.round(text.try_cast("double")).try_cast("int")
+def _is_integral(observations: DataFrame) -> bool:
+    return isinstance(observations.schema["positional_accuracy"].dataType, T.IntegralType)
+
+
+def whole_number(value: Column) -> Column:
+    return F.round(value.try_cast("double")).try_cast("int")
 
 
 def with_year_month(observations: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def with_year_month(observations: DataFrame) -> DataFrame:
 
 def clean_observations(raw: DataFrame) -> DataFrame:
     kept = with_year_month(located(raw))
-    if isinstance(raw.schema["positional_accuracy"].dataType, T.StringType):
+    if not _is_integral(raw):
         kept = kept.withColumn("positional_accuracy", whole_number(F.col("positional_accuracy")))
     return kept.drop("observed_on")
 
@@ -90,20 +94,20 @@ def descriptions(raw: DataFrame) -> DataFrame:
     return raw.filter(~junk & english).withColumnRenamed("taxonID", "gbif_id")
 
 
-def build_observations(spark: SparkSession, dump: str, out: str, sep: str = "\t") -> None:
+def build_observations(spark: SparkSession, dump: str, out: str, sep: str = "\t", mode: str = "overwrite") -> None:
     """Observation dump to the stored table, in one pass without a shuffle."""
-    write_table(observations_table(delimited.read_observations(spark, dump, sep)), out, schemas.OBSERVATIONS)
+    write_table(observations_table(delimited.read_observations(spark, dump, sep)), out, schemas.OBSERVATIONS, mode=mode)
 
 
-def build_taxa(spark: SparkSession, dump: str, out: str) -> None:
-    write_table(enrich_taxa(delimited.read_taxa(spark, dump)), out, schemas.TAXA)
+def build_taxa(spark: SparkSession, dump: str, out: str, mode: str = "overwrite") -> None:
+    write_table(enrich_taxa(delimited.read_taxa(spark, dump)), out, schemas.TAXA, mode=mode)
 
 
-def build_photos(spark: SparkSession, dump: str, out: str) -> None:
-    write_table(main_photos(delimited.read_photos(spark, dump)), out, schemas.PHOTOS)
+def build_photos(spark: SparkSession, dump: str, out: str, mode: str = "overwrite") -> None:
+    write_table(main_photos(delimited.read_photos(spark, dump)), out, schemas.PHOTOS, mode=mode)
 
 
-def build_checklist(spark: SparkSession, folder: str, out: str) -> None:
+def build_checklist(spark: SparkSession, folder: str, out: str, mode: str = "overwrite") -> None:
     """The five checklist tables and the name link; needs ``taxa_enriched`` in ``out``."""
     steps = {
         "taxon": accepted_names,
@@ -113,7 +117,7 @@ def build_checklist(spark: SparkSession, folder: str, out: str) -> None:
         "multimedia": multimedia,
     }
     for table, clean in steps.items():
-        write_table(clean(delimited.read_checklist(spark, folder, table)), f"{out}/gbif_{table}.parquet")
+        write_table(clean(delimited.read_checklist(spark, folder, table)), f"{out}/gbif_{table}.parquet", mode=mode)
     taxa = spark.read.parquet(f"{out}/taxa_enriched.parquet")
     names = spark.read.parquet(f"{out}/gbif_taxon.parquet")
-    write_table(match_names(taxa, names), f"{out}/taxon_join.parquet")
+    write_table(match_names(taxa, names), f"{out}/taxon_join.parquet", mode=mode)

@@ -70,7 +70,9 @@ def time_series(temporal: DataFrame, f: Filters = Filters(), granularity: str =
 
 def taxon_nodes(taxon_tree: DataFrame, f: Filters = Filters(), depth: int = 4) -> DataFrame:
     """(path, n_species, n_obs) of the branches at a depth of 2 to 6 ranks."""
-    levels = RANKS[: max(2, min(depth, len(RANKS)))]
+    if not 2 <= depth <= len(RANKS):
+        raise ValueError(f"depth must be 2 to {len(RANKS)}")
+    levels = RANKS[:depth]
     return (
         scoped(taxon_tree, f, years=False)
         .dropna(subset=levels)
@@ -141,11 +143,10 @@ def class_bias(species: DataFrame, f: Filters = Filters()) -> DataFrame:
     the share of rows with at least 1 or 20 observations, or 20 cells.
     """
     df = scoped(species, f, years=False)
-    total_obs = df.agg(F.sum("n_obs")).scalar()
-    total_rows = df.agg(F.count("*")).scalar()
+    # One row per class: the totals are summed over these, not over the species.
+    every = Window.partitionBy()
     groups = (
-        df.filter(text.blank_to_null(F.col("class")).isNotNull())
-        .groupBy("class")
+        df.groupBy("class")
         .agg(
             F.min("kingdom").alias("kingdom"),
             F.count("*").alias("n_species"),
@@ -154,7 +155,10 @@ def class_bias(species: DataFrame, f: Filters = Filters()) -> DataFrame:
             F.count_if(F.col("n_obs") >= 20).alias("seen_20"),
             F.count_if(F.col("n_cells") >= 20).alias("spread_20"),
         )
-        .withColumn("exact_ideal", total_obs * (F.col("n_species") / total_rows))
+        .withColumn("total_obs", F.sum("n_obs").over(every))
+        .withColumn("total_rows", F.sum("n_species").over(every))
+        .filter(text.blank_to_null(F.col("class")).isNotNull())
+        .withColumn("exact_ideal", F.col("total_obs") * (F.col("n_species") / F.col("total_rows")))
         .withColumn("exact_deviation", F.col("n_obs") - F.col("exact_ideal"))
     )
     return groups.select(
@@ -195,6 +199,10 @@ def page(
     return rows.withColumn("total", total).withColumn("pages", numeric.page_count(F.col("total"), page_size))
 
 
+# Fixed value: largest page of the species list.
+MAX_PAGE = 100
+
+
 def species_page(
     species: DataFrame,
     f: Filters = Filters(),
@@ -204,10 +212,12 @@ def species_page(
     sort_by: str = "obs",
 ) -> DataFrame:
     """Page of the species list; names ascend, counts descend, NULL comes last."""
+    if not 1 <= page_size <= MAX_PAGE or page_number < 1:
+        raise ValueError(f"page_size must be 1 to {MAX_PAGE}, page_number at least 1")
     df = flt.by_name(scoped(species, f, years=False), search)
     column = SPECIES_SORT.get(sort_by, "n_obs")
     sort = F.asc_nulls_last(column) if column == "name" else F.desc_nulls_last(column)
-    return page(df, sort, ["taxon_id", "quality_grade"], page_number, min(page_size, 100))
+    return page(df, sort, ["taxon_id", "quality_grade"], page_number, page_size)
 
 
 def biome_groups(meta: DataFrame) -> DataFrame:

@@ -21,12 +21,18 @@ def external_species(documents: DataFrame) -> DataFrame:
     return schemas.enforce(numbered.withColumn("taxon_id", -1 - F.col("nth")), schemas.EXTERNAL_SPECIES)
 
 
+# Fixed value: largest page of the external list.
+MAX_PAGE = 200
+
+
 def external_page(
     species: DataFrame, search: str = "", page_number: int = 1, page_size: int = 24, sort_by: str = "name"
 ) -> DataFrame:
+    if not 1 <= page_size <= MAX_PAGE or page_number < 1:
+        raise ValueError(f"page_size must be 1 to {MAX_PAGE}, page_number at least 1")
     column = SORT.get(sort_by, "name")
     sort = F.asc_nulls_last(column) if column == "name" else F.desc_nulls_last(column)
-    return page(flt.by_name(species, search), sort, ["taxon_id"], page_number, min(page_size, 200))
+    return page(flt.by_name(species, search), sort, ["taxon_id"], page_number, page_size)
 
 
 def external_details(species: DataFrame, ids: DataFrame) -> DataFrame:

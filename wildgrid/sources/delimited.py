@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wildgrid import schemas
 
 _BAD = "_bad_line"
 
 
+def _parsed(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool
+) -> tuple[DataFrame, int]:
+    """All columns of the header, each line that does not fit in _BAD, and the header's length.
+
+    Fields may be quoted; a quote inside is doubled, and with ``multi_line`` a quoted field
+    may hold line breaks.
+    """
+    reader = (
+        spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line)
+        .option("quote", '"').option("escape", '"')
+    )
+    header = reader.csv(path, inferSchema=False).columns
+    wanted = {f.name: f.dataType for f in schema.fields}
+    full = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
+    # All fields are parsed, so that the field count of every line is seen.
+    lines = (
+        reader.option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _BAD)
+        .schema(full.add(_BAD, T.StringType()))
+        .csv(path)
+    )
+    return lines, len(header)
+
+
+def _n_fields(line: Column, sep: str) -> Column:
+    """Number of fields of a line; separators inside quotes don't count."""
+    unquoted = F.regexp_replace(line, '"(?:[^"]|"")*"', "")
+    return F.size(F.split(unquoted, sep.replace("|", r"\|")))
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -22,27 +54,36 @@ def read_delimited(
     ``drop="any"`` leaves out every line with a wrong number of fields or a
     field that does not parse. ``drop="long"`` leaves out only lines with too
     many fields; short lines are filled with NULL and a bad field becomes NULL.
-    ``multi_line`` accepts line breaks inside quotes, at the price of reading
-    each file in one task.
+    ``drop="fail"`` raises at a line with too many fields. ``multi_line`` accepts
+    line breaks inside quotes, at the price of reading each file in one task.
+    ``rejected_lines`` lists what is left out.
     """
-    reader = spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line)
-    header = reader.csv(path, inferSchema=False).columns
-    wanted = {f.name: f.dataType for f in schema.fields}
-    full = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
-    # All fields are parsed, so that the field count of every line is seen.
-    lines = (
-        reader.option("mode", "PERMISSIVE")
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", _BAD)
-        .schema(full.add(_BAD, T.StringType()))
-        .csv(path)
-    )
+    lines, size = _parsed(spark, path, schema, sep, multi_line)
+    bad = F.col(_BAD)
+    long = bad.isNotNull() & (_n_fields(bad, sep) > size)
     if drop == "any":
-        lines = lines.filter(F.col(_BAD).isNull())
+        lines = lines.filter(bad.isNull())
+    elif drop == "fail":
+        message = F.concat(F.lit("too many fields: "), F.left(bad, F.lit(200)))
+        lines = lines.filter(F.when(long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     else:
-        n_fields = F.size(F.split(_BAD, sep.replace("|", r"\|")))
-        lines = lines.filter(F.col(_BAD).isNull() | (n_fields <= len(header)))
-    return lines.select(*[F.col(f"`{c}`") for c in wanted])
+        lines = lines.filter(~long)
+    return lines.select(*[F.col(f"`{f.name}`") for f in schema.fields])
+
+
+def rejected_lines(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", drop: str = "any", multi_line: bool = False
+) -> DataFrame:
+    """(source_file, line, reason) of the lines that ``read_delimited`` leaves out."""
+    lines, size = _parsed(spark, path, schema, sep, multi_line)
+    fields = _n_fields(F.col(_BAD), sep)
+    reason = F.when(fields > size, "too many fields").when(fields < size, "too few fields").otherwise("unreadable field")
+    # A scan may not read the bad lines alone: the test also names a column, and always holds.
+    named = F.coalesce(F.col(f"`{lines.columns[0]}`").cast("string"), F.lit("")) >= ""
+    bad = lines.filter(F.col(_BAD).isNotNull() & named).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col(_BAD).alias("line"), reason.alias("reason")
+    )
+    return bad if drop == "any" else bad.filter("reason = 'too many fields'")
 
 
 def read_observations(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -50,7 +91,7 @@ def read_observations(spark: SparkSession, path: str, sep: str = "\t") -> DataFr
 
 
 def read_taxa(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    return read_delimited(spark, path, schemas.RAW_TAXA, sep, drop="long")
+    return read_delimited(spark, path, schemas.RAW_TAXA, sep, drop="fail")
 
 
 def read_photos(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -73,6 +114,11 @@ CHECKLIST_FILES = {
 }
 
 
+# Tables with free text, whose quoted fields may hold line breaks.
+FREE_TEXT = ["vernacular", "description"]
+
+
 def read_checklist(spark: SparkSession, folder: str, table: str) -> DataFrame:
     file, schema = CHECKLIST_FILES[table]
-    return read_delimited(spark, f"{folder.rstrip('/')}/{file}", schema, drop="long")
+    path = f"{folder.rstrip('/')}/{file}"
+    return read_delimited(spark, path, schema, drop="long", multi_line=table in FREE_TEXT)

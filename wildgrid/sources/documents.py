@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Keys under which a document may hold a list of records.
 LIST_KEYS = ["preview", "data", "results", "items"]
-
-RECORD = [
-    "source_file", "position", "external_id", "name", "family", "order",
-    "image_url", "dataset_records", "subrepresented",
-]
+# A text field may be as long as a value can be at all.
+_OPTIONS = {"maxStringLen": "2147483647"}
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -40,46 +37,96 @@ def _filled(value: Column, field: str) -> Column:
     return F.when(~F.coalesce(empty, F.lit(False)), text)
 
 
-def extract_records(documents: DataFrame) -> DataFrame:
-    """One row per record; an unreadable document gives none.
+def _shape(text: Column) -> Column:
+    """OBJECT or ARRAY by the first character of a document, else NULL."""
+    first = F.left(F.regexp_replace(text, r"^[\s\x{FEFF}]+", ""), F.lit(1))
+    return F.when(first == "{", "OBJECT").when(first == "[", "ARRAY")
 
-    A document may map names to records, hold lists of records under LIST_KEYS,
-    or be a list. An object is a map of records only if all its values are
-    objects. ``position`` follows the order inside the document.
+
+def _last_of_key(entries: Column) -> Column:
+    """Entries without those whose key comes again later."""
+    later = lambda i: F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
+    return F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
+
+
+def _record(text: Column) -> Column:
+    """A record as a variant; one with repeated keys or NaN is read field by field."""
+    fields = _last_of_key(F.map_entries(F.from_json(text, "map<string, string>", _OPTIONS)))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.to_json(F.map_from_entries(fields))))
+
+
+def _entries(documents: DataFrame) -> DataFrame:
+    """Documents with ``is_map`` and ``entries``, the texts of their records; NULL if unreadable.
+
+    The texts are cut out by the parser of streams, which has no limit for a document, and
+    each record is read on its own: an odd record costs no other.
     """
-    doc = F.col("doc")
-    entry = "array<struct<key:string, record:variant>>"
+    entry = "array<struct<key:string, record:string>>"
 
-    def listed(values: Column) -> Column:
-        return F.transform(
-            F.coalesce(values, F.array().cast("array<variant>")),
-            lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("record")),
-        )
+    def listed(text: Column) -> Column:
+        values = F.from_json(text, "array<string>", _OPTIONS)
+        return F.transform(values, lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("record")))
 
-    members = F.from_json("text", "map<string, variant>")
-    all_objects = F.forall(F.map_values(members), lambda v: F.coalesce(_kind(v), F.lit("VOID")) == "OBJECT")
-    mapped = F.transform(
-        F.map_entries(members), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("record"))
+    members = F.map_entries(F.from_json("text", "map<string, string>", _OPTIONS))
+    shaped = documents.withColumn("shape", _shape(F.col("text"))).withColumn(
+        "members", F.when(F.col("shape") == "OBJECT", _last_of_key(members))
     )
-    keyed = F.concat(*[listed(F.try_variant_get(doc, f"$.{k}", "array<variant>")) for k in LIST_KEYS])
-    records = (
-        documents.withColumn("doc", F.try_parse_json("text"))
-        .filter("doc is not null")
-        .withColumn("shape", _kind(doc))
-        .withColumn("is_map", (F.col("shape") == "OBJECT") & F.coalesce(all_objects, F.lit(False)))
+    all_objects = F.forall("members", lambda e: F.coalesce(F.startswith(e["value"], F.lit("{")), F.lit(False)))
+    nothing = F.array().cast(entry)
+
+    def member(key: str) -> Column:
+        return F.get(F.filter("members", lambda e: e["key"] == key), F.lit(0))["value"]
+
+    keyed = [F.coalesce(listed(member(k)), nothing) for k in LIST_KEYS]
+    mapped = F.transform("members", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("record")))
+    return (
+        shaped.withColumn("is_map", (F.col("shape") == "OBJECT") & F.coalesce(all_objects, F.lit(False)))
         .withColumn(
             "entries",
-            F.when(F.col("is_map"), mapped.cast(entry))
-            .when(F.col("shape") == "OBJECT", keyed.cast(entry))
-            .when(F.col("shape") == "ARRAY", listed(F.try_variant_get(doc, "$", "array<variant>")).cast(entry)),
+            F.when(F.col("members").isNotNull(), F.when(F.col("is_map"), mapped.cast(entry)).otherwise(F.concat(*keyed)))
+            .when(F.col("shape") == "ARRAY", listed(F.col("text"))),
         )
+        .drop("members")
+    )
+
+
+def extract_records(documents: DataFrame) -> DataFrame:
+    """One row per record; what cannot be read is in ``rejected_documents``.
+
+    A document may map names to records, hold lists of records under LIST_KEYS,
+    or be a list. An object is a map of records only if all its values are
+    objects. ``position`` follows the order inside the document. Of a repeated
+    key the last value counts.
+    """
+    records = (
+        _entries(documents)
         .select("source_file", "is_map", F.posexplode_outer("entries").alias("position", "e"))
-        .select("source_file", "is_map", "position", "e.key", "e.record")
+        .select("source_file", "is_map", "position", "e.key", _record(F.col("e.record")).alias("record"))
         .filter(F.coalesce(_kind(F.col("record")), F.lit("VOID")) == "OBJECT")
     )
     return _fields(records)
 
 
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """(source_file, position, reason) of documents and records that give no rows.
+
+    ``position`` is NULL for a whole document.
+    """
+    cut = _entries(documents)
+    whole = cut.filter("entries is null").select(
+        "source_file",
+        F.lit(None).cast("int").alias("position"),
+        F.when(F.col("shape").isNull(), "neither object nor list").otherwise("not valid JSON").alias("reason"),
+    )
+    parts = (
+        cut.select("source_file", F.posexplode("entries").alias("position", "e"))
+        .withColumn("kind", _kind(_record(F.col("e.record"))))
+        .filter(F.coalesce(F.col("kind"), F.lit("VOID")) != "OBJECT")
+        .select("source_file", "position", F.lit("not an object").alias("reason"))
+    )
+    return whole.unionByName(parts)
+
+
 def _fields(records: DataFrame) -> DataFrame:
     r, is_map = F.col("record"), F.col("is_map")
     species, name = _filled(r, "species"), _filled(r, "name")

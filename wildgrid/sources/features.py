@@ -16,7 +16,7 @@ _GEOMETRY = "struct<type:string, coordinates:string>"
 
 
 def _properties(names: list[str]) -> str:
-    types = ["int", "string", "int", "string", "string"]
+    types = ["double", "string", "double", "string", "string"]
     return "struct<" + ", ".join(f"{n}:{t}" for n, t in zip(names, types)) + ">"
 
 
@@ -28,8 +28,10 @@ def parse_features(texts: DataFrame, text: str = "value", names: list[str] = SOU
     """
     schema = f"struct<properties:{_properties(names)}, geometry:{_GEOMETRY}>"
     parsed = texts.select(F.from_json(text, schema).alias("f")).select("f.properties.*", "f.geometry")
+    # Ids may be written as reals.
+    types = dict(part.split() for part in META_SCHEMA.split(", "))
     return parsed.select(
-        *[F.col(n).alias(m) for n, m in zip(names, META)], _parts(F.col("geometry")).alias("parts")
+        *[F.col(n).cast(types[m]).alias(m) for n, m in zip(names, META)], _parts(F.col("geometry")).alias("parts")
     )
 
 
@@ -44,10 +46,14 @@ def _parts(geometry: Column) -> Column:
 def read_features(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
     """GeoJSON features from files of one feature per line, or of one collection each.
 
-    Line files split over tasks; a collection file is read whole by one task.
+    Line files split over tasks; a collection file is read whole by one task. A line that is
+    not a feature, such as one of a collection, is an error.
     """
     if one_per_line:
-        return parse_features(spark.read.text(path))
+        message = F.concat(F.lit("not one feature per line: "), F.left("value", F.lit(80)))
+        is_feature = F.get_json_object("value", "$.type") == "Feature"
+        lines = spark.read.text(path).filter(F.trim("value") != "")
+        return parse_features(lines.select(F.when(is_feature, F.col("value")).otherwise(F.raise_error(message)).alias("value")))
     # json_tuple keeps each feature as text, so both layouts share one parser.
     whole = spark.read.text(path, wholetext=True)
     items = F.from_json(F.get_json_object("value", "$.features"), "array<string>")

@@ -76,24 +76,25 @@ def probe_parquet(inventory: DataFrame, sample_rows: int = 5) -> DataFrame:
         for batch in batches:
             found = []
             for path in batch["path"]:
-                row = {"path": path, "columns": None, "schema": None, "sample": None, "error": None}
+                row = {"path": path, "columns": None, "schema": None, "sample": None, "error": None, "n_rows": None}
                 try:
                     files, inside = fs.FileSystem.from_uri(path)
                     with files.open_input_file(inside) as handle:
                         parquet = pq.ParquetFile(handle)
                         row["columns"] = parquet.schema_arrow.names
                         row["schema"] = str(parquet.schema_arrow)
+                        row["n_rows"] = parquet.metadata.num_rows
                         first = next(parquet.iter_batches(batch_size=sample_rows), None)
                         sample = [] if first is None else first.to_pylist()
                         row["sample"] = json.dumps(sample, default=str, ensure_ascii=False)
                 except Exception as e:  # the report lists unreadable files
                     row["error"] = repr(e)
                 found.append(row)
-            yield pd.DataFrame(found, columns=["path", "columns", "schema", "sample", "error"])
+            yield pd.DataFrame(found, columns=["path", "columns", "schema", "sample", "error", "n_rows"])
 
     # Files are slow to open next to their number: spread the paths.
     paths = inventory.filter("kind = 'parquets'").select("path").repartition("path")
-    return paths.mapInPandas(probe, "path string, columns array<string>, schema string, sample string, error string")
+    return paths.mapInPandas(probe, "path string, columns array<string>, schema string, sample string, error string, n_rows long")
 
 
 def probe_json(texts: DataFrame, n_keys: int = 20, n_items: int = 5, n_chars: int = 200) -> DataFrame:
@@ -166,17 +167,19 @@ def manifest(report: DataFrame, present: DataFrame, root: str, target: str) -> D
     )
 
 
-def read_vectors(spark: SparkSession, root: str, element: str = "float") -> DataFrame:
+def read_vectors(
+    spark: SparkSession, root: str, element: str = "float", skip_damaged: bool = False
+) -> DataFrame:
     """Vectors of all Parquet files below ``root`` with their file and row.
 
-    A file without an ``embedding`` column gives NULL vectors; an unreadable
-    file gives no rows, its error is found by ``probe_parquet``.
+    A file without an ``embedding`` column gives NULL vectors. A damaged file is an
+    error, or with ``skip_damaged`` gives the rows before the damage.
     """
     return (
         spark.read.schema(f"embedding array<{element}>")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_damaged)
         .parquet(root)
         .select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"), "embedding"
@@ -210,12 +213,18 @@ def embedding_profile(vectors: DataFrame, sample_n: int | None = None) -> DataFr
     return rows.join(stats, "path", "left").withColumn("sample_count", F.coalesce("sample_count", F.lit(0)))
 
 
-def embedding_report(spark: SparkSession, root: str, sample_n: int | None = 100) -> DataFrame:
-    """Profile of every Parquet file below ``root``, with its columns or its read error."""
+def embedding_report(spark: SparkSession, root: str, sample_n: int | None = None) -> DataFrame:
+    """Profile of every Parquet file below ``root``, with its columns or its read error.
+
+    A file of which fewer rows could be read than its footer states has an error.
+    """
     probed = probe_parquet(file_inventory(spark, root)).select(
-        "path", "columns", F.array_contains("columns", "embedding").alias("present"), "error"
+        "path", "columns", F.array_contains("columns", "embedding").alias("present"), "error", "n_rows"
     )
-    return probed.join(embedding_profile(read_vectors(spark, root), sample_n), "path", "left")
+    joined = probed.join(embedding_profile(read_vectors(spark, root, skip_damaged=True), sample_n), "path", "left")
+    short = F.coalesce("rows", F.lit(0)) < F.col("n_rows")
+    lost = F.format_string("damaged: %d of %d rows read", F.coalesce("rows", F.lit(0)), F.col("n_rows"))
+    return joined.withColumn("error", F.coalesce("error", F.when(short, lost))).drop("n_rows")
 
 
 def embedding_totals(report: DataFrame) -> DataFrame:
