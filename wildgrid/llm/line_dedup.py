@@ -83,6 +83,8 @@ def drop_lines(
         once = batch.select(*KEY, "doc").distinct()
         store.add(once.select(*KEY, F.lit(1).cast("long").alias("n"), F.col("doc").alias("last")))
     frequent = store.totals(F.col("n") >= least_documents).filter(F.col("n") >= least_documents).select(*KEY, "last")
+    # Written, so that the join below has a shuffle of its own, whose hot lines Spark splits.
+    frequent = written(spark, frequent, "frequent")
     # Lines to drop, by document and text, as two rows may share an id.
     gone = (
         lines.join(frequent, KEY)
