@@ -158,6 +158,15 @@ def test_coverage_long(species):
     assert rows(dash.coverage_long(dash.class_bias(species), 1)) == [("C2", "p1", 100.0), ("C2", "p20", 100.0), ("C2", "p20d", 0.0)]
 
 
+def test_pages_by_last_key_meet_every_row_once(species):
+    for sort_by in ("obs", "name", "observers"):
+        whole = [tuple(r)[: len(species.columns)] for r in dash.species_page(species, page_size=100, sort_by=sort_by).collect()]
+        got = dash.species_page(species, page_size=2, sort_by=sort_by).drop("total", "pages").collect()
+        while more := dash.species_after(species, got[-1].asDict(), page_size=2, sort_by=sort_by).collect():
+            got += more
+        assert [tuple(r) for r in got] == whole
+
+
 def test_species_page_order_and_counts(species):
     by_obs = dash.species_page(species, page_size=4)
     assert [r.taxon_id for r in by_obs.collect()] == [4, 1, 3, 1]

@@ -116,11 +116,15 @@ class Tables:
     def external(self) -> DataFrame:
         return external.external_species(self.view("external_docs"))
 
-    def retrieval(self) -> dict[str, DataFrame]:
-        return ident.identify(
-            *[self.view(n) for n in ("query_vec", "text_clip", "text_bioclip", "anchors", "species_meta")]
+    def with_photo_and_name(self, page: DataFrame) -> DataFrame:
+        return agg.with_photo_and_name(
+            page, page, self.obs, self.photos, self.observers, self.link, self.vernacular
         )
 
+    def retrieval(self, name: str) -> DataFrame:
+        views = [self.view(n) for n in ("query_vec", "text_clip", "text_bioclip", "anchors", "species_meta")]
+        return ident.identify(*views, only=name)[name]
+
 
 def biome_toggle(t: Tables) -> DataFrame:
     """Each biome toggled on a selection that holds biome 1 whole and biome 2 in part."""
@@ -265,9 +269,13 @@ QUERIES: dict[str, Query] = {
     "bias_by_class": _on(lambda t: dash.class_bias(t.species_counts, Filters(kingdom="STANDARD,PROMO,LARGE"))),
     "bias_totals": _on(lambda t: dash.bias_totals(t.species_counts, Filters(grade="research"))),
     "bias_coverage_long": _on(lambda t: dash.coverage_long(dash.class_bias(t.species_counts))),
-    "species_page": _on(lambda t: dash.species_page(t.species_list, Filters(grade="research"), page_number=2)),
+    "species_page": _on(
+        lambda t: t.with_photo_and_name(dash.species_page(t.species_counts, Filters(grade="research"), page_number=2))
+    ),
     "species_search": _on(
-        lambda t: dash.species_page(t.species_list, search="^(OLD|new) .*1", sort_by="name", page_size=50)
+        lambda t: t.with_photo_and_name(
+            dash.species_page(t.species_counts, search="^(OLD|new) .*1", sort_by="name", page_size=50)
+        )
     ),
     "species_profile": _on(
         lambda t: species_profiles(t.taxa, t.obs, t.photos, t.observers, t.link, t.vernacular, t.description)
@@ -281,11 +289,11 @@ QUERIES: dict[str, Query] = {
     "ecoregion_cell_sets": _on(lambda t: as_text(cell_sets(t.region_cells), "cells")),
     "ecoregion_features": _on(ecoregion_features),
     # Identification
-    "retrieval_stage1": _on(lambda t: t.retrieval()["stage1"]),
-    "retrieval_stage2": _on(lambda t: t.retrieval()["stage2"]),
-    "retrieval_stage3": _on(lambda t: t.retrieval()["stage3"]),
-    "retrieval_predictions": _on(lambda t: t.retrieval()["predictions"]),
-    "retrieval_known": _on(lambda t: t.retrieval()["known"]),
+    "retrieval_stage1": _on(lambda t: t.retrieval("stage1")),
+    "retrieval_stage2": _on(lambda t: t.retrieval("stage2")),
+    "retrieval_stage3": _on(lambda t: t.retrieval("stage3")),
+    "retrieval_predictions": _on(lambda t: t.retrieval("predictions")),
+    "retrieval_known": _on(lambda t: t.retrieval("known")),
     "embedding_profile": embedding_profile,
     "embedding_profile_sample": lambda spark, sf_dir: embedding_profile(spark, sf_dir, 100),
     "embedding_totals": embedding_totals,

@@ -3,7 +3,9 @@
 Every left row meets every right row of its group, in blocks: both sides are cut
 into blocks of bounded size, each pair of blocks is one run of matrix products in
 a task, and only the wanted scores leave it. Each side is shuffled once per block
-of the other. Blocks are chosen by a hash of the row, after equal rows have been
+of the other. Blocks hold at most LEFT_BLOCK and RIGHT_BLOCK rows; when that makes
+fewer pairs than there are cores, the left side is cut finer, so that the queries
+still travel once and the corpus once per task. Blocks are chosen by a hash of the row, after equal rows have been
 merged, so no key, however frequent, makes a block large, and a lost task gives
 the same blocks again.
 """
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
+LEAST_BLOCK = 256  # left rows below which a finer cut costs more than it gains
 CHUNK = 256  # left rows compared at once inside a block
 SCORE_PLACES = 10
 
@@ -22,6 +25,13 @@ def _block_count(rows: DataFrame, block: int) -> Column:
     return rows.agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.lit(1)).cast("int")).scalar()
 
 
+def _spread_count(rows: DataFrame, others: Column, tasks: int) -> Column:
+    """Blocks of the left side: as its size asks, or as many as give every core a pair."""
+    n = F.count("*")
+    filling = F.least(F.ceil(F.lit(tasks) / others), F.ceil(n / F.lit(LEAST_BLOCK)))
+    return rows.agg(F.greatest(F.ceil(n / F.lit(LEFT_BLOCK)), filling, F.lit(1)).cast("int")).scalar()
+
+
 def _block_of(columns: list[str], blocks: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), blocks).cast("int")
 
@@ -68,19 +78,23 @@ def best_matches(queries: DataFrame, corpus: DataFrame, corpus_ids: DataFrame, t
             for start in range(0, len(left), chunk):
                 clip, bio = (a[start : start + chunk] @ b for a, (_, b) in zip(asked, sides))
                 score = np.round((clip + bio) / 2, places)
-                least = np.partition(score, -n, axis=1)[:, -n]
-                for row, bound in enumerate(least):
-                    good = np.flatnonzero(score[row] >= bound)
-                    good = good[np.argsort(-score[row, good], kind="stable")[:n]]
-                    at.append(good)
-                    scores.append(np.stack([clip[row, good], bio[row, good], score[row, good]]))
+                least = np.partition(score, -n, axis=1)[:, -n :][:, :1]
+                # All that tie with the n-th, by row, score and name; then n of each row.
+                row, good = np.nonzero(score >= least)
+                order_in = np.lexsort((good, -score[row, good], row))
+                row, good = row[order_in], good[order_in]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, good = row[kept], good[kept]
+                at.append(good)
+                scores.append(np.stack([clip[row, good], bio[row, good], score[row, good]]))
         at, scores = np.concatenate(at), np.concatenate(scores, axis=1)
         asked = np.arange(len(at)) // max(n, 1)
         picked = right.select(["slug", "description", "copies"]).take(pa.array(at))
         query = left["query_id"].take(pa.array(asked))
         return pa.table([query, *picked.columns, *[pa.array(s) for s in scores]], names=names)
 
-    n_left, n_right = _block_count(queries, LEFT_BLOCK), _block_count(corpus_ids, RIGHT_BLOCK)
+    n_right = _block_count(corpus_ids, RIGHT_BLOCK)
+    n_left = _spread_count(queries, n_right, queries.sparkSession.sparkContext.defaultParallelism)
     left = queries.select(
         "query_id", "clip", "bio", _block_of(["query_id"], n_left).alias("lb"), _all_blocks(n_right).alias("rb")
     )
@@ -165,7 +179,8 @@ def best_similarity(pairs: DataFrame, queries: DataFrame, right: DataFrame, on:
         )
         .join(queries.select("query_id", "vector"), "query_id")
     )
-    b = images.distinct().join(plan, "member").select(
+    # Images of species that no query asks for are left out before any vector is shuffled.
+    b = images.join(plan.select("member"), "member", "left_semi").distinct().join(plan, "member").select(
         "member", "vector", F.col("task").alias("right_task"),
         _block_of(["vector"], F.col("n_right")).alias("rb"), _all_blocks(F.col("n_left")).alias("lb"),
     )

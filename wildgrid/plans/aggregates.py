@@ -77,22 +77,35 @@ def taxon_tree(obs: DataFrame, taxa: DataFrame) -> DataFrame:
     )
 
 
-def main_photo_per_taxon(obs: DataFrame, photos: DataFrame, observers: DataFrame) -> DataFrame:
+def main_photo_per_taxon(
+    obs: DataFrame, photos: DataFrame, observers: DataFrame, wanted: DataFrame | None = None
+) -> DataFrame:
     """Photo with the smallest id of each taxon: address, license, observer's login.
 
-    The pick is combined before the shuffle, and observers are looked up for the
-    picked rows only.
+    Only ids travel to the pick: the photos are reduced to the smallest id of each
+    observation, and observations of taxa that are not ``wanted`` are left out before the
+    join. Address, license and observer are looked up for the picked photos. A photo that
+    shows several observations of the taxon takes the smallest of these.
     """
     shown = photos.filter("photo_url is not null").select("photo_id", "photo_url", "license", "observation_uuid")
-    seen = obs.select("observation_uuid", "taxon_id", "observer_id")
+    seen = obs.filter("taxon_id is not null").select("observation_uuid", "taxon_id", "observer_id")
+    if wanted is not None:
+        seen = seen.join(wanted.select("taxon_id"), "taxon_id", "left_semi")
+    first = shown.groupBy("observation_uuid").agg(F.min("photo_id").alias("photo_id"))
     picked = (
-        shown.join(seen, "observation_uuid")
+        first.join(seen.select("observation_uuid", "taxon_id"), "observation_uuid")
+        .groupBy("taxon_id")
+        .agg(F.min("photo_id").alias("photo_id"))
+    )
+    details = (
+        shown.join(picked, "photo_id")
+        .join(seen, ["observation_uuid", "taxon_id"])
         .groupBy("taxon_id")
-        .agg(F.min(F.struct("photo_id", "photo_url", "license", "observer_id")).alias("p"))
+        .agg(F.min(F.struct("photo_url", "license", "observer_id")).alias("p"))
         .select("taxon_id", "p.photo_url", F.col("p.license").alias("photo_license"), "p.observer_id")
     )
     logins = observers.select("observer_id", F.col("login").alias("photo_attribution"))
-    return picked.join(logins, "observer_id", "left").drop("observer_id")
+    return details.join(logins, "observer_id", "left").drop("observer_id")
 
 
 def vernacular_per_taxon(taxon_link: DataFrame, vernacular: DataFrame) -> DataFrame:
@@ -106,25 +119,59 @@ def vernacular_per_taxon(taxon_link: DataFrame, vernacular: DataFrame) -> DataFr
 
 
 def species_counts(obs: DataFrame, taxa: DataFrame) -> DataFrame:
-    """One row per species and grade. Counting precedes the join with the taxon columns."""
+    """One row per species and grade. Counting precedes the join with the taxon columns.
+
+    Observations of other ranks are left out first. Each of the rest is sent once for its
+    observer, with the count and the year, and once for its cell, as in ``_cell_counts``.
+    """
+    species = taxa.filter(F.col("rank") == "species").select("taxon_id", "name", "rank", *RANKS)
+    keys = ["taxon_id", "quality_grade"]
+    seen = obs.select(*keys, "observer_id", "year", "h3_r3").join(species.select("taxon_id"), "taxon_id", "left_semi")
+    sent = F.array(
+        F.struct(
+            F.col("observer_id").alias("observer"), F.lit(None).alias("cell"),
+            F.col("year").alias("year"), F.lit(1).cast("long").alias("n"),
+        ),
+        F.struct(
+            F.lit(None).alias("observer"), F.col("h3_r3").alias("cell"),
+            F.lit(None).alias("year"), F.lit(None).alias("n"),
+        ),
+    )
     counted = (
-        obs.select("taxon_id", "quality_grade", "observer_id", "year", "h3_r3")
-        .groupBy("taxon_id", "quality_grade")
+        seen.select(*keys, F.explode(sent).alias("one"))
+        .select(*keys, "one.*")
+        .groupBy(*keys, "observer", "cell")
+        .agg(F.sum("n").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+        .groupBy(*keys)
         .agg(
-            F.count("*").alias("n_obs"),
-            F.count_distinct("observer_id").alias("n_observers"),
-            F.min("year").alias("first_year"),
-            F.max("year").alias("last_year"),
-            F.count_distinct("h3_r3").alias("n_cells"),
+            F.sum("n").alias("n_obs"),
+            F.count("observer").alias("n_observers"),
+            F.min("first_year").alias("first_year"),
+            F.max("last_year").alias("last_year"),
+            F.count("cell").alias("n_cells"),
         )
     )
-    species = taxa.filter(F.col("rank") == "species").select("taxon_id", "name", "rank", *RANKS)
     return counted.join(species, "taxon_id").select(
         "taxon_id", "name", "rank", *RANKS, "quality_grade",
         "n_obs", "n_observers", "first_year", "last_year", "n_cells",
     )
 
 
+def with_photo_and_name(
+    species: DataFrame,
+    wanted: DataFrame,
+    obs: DataFrame,
+    photos: DataFrame,
+    observers: DataFrame,
+    taxon_link: DataFrame,
+    vernacular: DataFrame,
+) -> DataFrame:
+    """Species rows with main photo and vernacular name; ``wanted`` holds their taxa."""
+    return species.join(main_photo_per_taxon(obs, photos, observers, wanted), "taxon_id", "left").join(
+        vernacular_per_taxon(taxon_link, vernacular), "taxon_id", "left"
+    )
+
+
 def species_list(
     obs: DataFrame,
     taxa: DataFrame,
@@ -133,11 +180,8 @@ def species_list(
     taxon_link: DataFrame,
     vernacular: DataFrame,
 ) -> DataFrame:
-    return (
-        species_counts(obs, taxa)
-        .join(main_photo_per_taxon(obs, photos, observers), "taxon_id", "left")
-        .join(vernacular_per_taxon(taxon_link, vernacular), "taxon_id", "left")
-    )
+    species = taxa.filter(F.col("rank") == "species")
+    return with_photo_and_name(species_counts(obs, taxa), species, obs, photos, observers, taxon_link, vernacular)
 
 
 # Order inside the written files, by what the dashboard filters on, so that reads

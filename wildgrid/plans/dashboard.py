@@ -201,6 +201,14 @@ def page(
 
 # Fixed value: largest page of the species list.
 MAX_PAGE = 100
+SPECIES_TIES = ["taxon_id", "quality_grade"]
+
+
+def _species_order(sort_by: str) -> tuple[str, bool, Column]:
+    """Column, whether it ascends, and the order: names ascend, counts descend, NULL comes last."""
+    column = SPECIES_SORT.get(sort_by, "n_obs")
+    ascends = column == "name"
+    return column, ascends, F.asc_nulls_last(column) if ascends else F.desc_nulls_last(column)
 
 
 def species_page(
@@ -211,13 +219,38 @@ def species_page(
     page_size: int = 24,
     sort_by: str = "obs",
 ) -> DataFrame:
-    """Page of the species list; names ascend, counts descend, NULL comes last."""
+    """Page of the species list, in the order of ``_species_order``.
+
+    ``species`` needs no photos or names; ``aggregates.with_photo_and_name`` adds them to
+    the page alone. All rows before the page are sorted too; for deep pages see
+    ``species_after``.
+    """
     if not 1 <= page_size <= MAX_PAGE or page_number < 1:
         raise ValueError(f"page_size must be 1 to {MAX_PAGE}, page_number at least 1")
     df = flt.by_name(scoped(species, f, years=False), search)
-    column = SPECIES_SORT.get(sort_by, "n_obs")
-    sort = F.asc_nulls_last(column) if column == "name" else F.desc_nulls_last(column)
-    return page(df, sort, ["taxon_id", "quality_grade"], page_number, page_size)
+    return page(df, _species_order(sort_by)[2], SPECIES_TIES, page_number, page_size)
+
+
+def species_after(
+    species: DataFrame,
+    last: dict,
+    f: Filters = Filters(),
+    search: str = "",
+    page_size: int = 24,
+    sort_by: str = "obs",
+) -> DataFrame:
+    """The rows that follow ``last``, a row of the page before; its cost does not grow with depth."""
+    if not 1 <= page_size <= MAX_PAGE:
+        raise ValueError(f"page_size must be 1 to {MAX_PAGE}")
+    df = flt.by_name(scoped(species, f, years=False), search)
+    column, ascends, sort = _species_order(sort_by)
+    value, taxon, grade = F.lit(last[column]), F.lit(last["taxon_id"]), F.lit(last["quality_grade"])
+    # Ties ascend, NULL first.
+    grade_later = F.col("quality_grade").isNotNull() & (grade.isNull() | (F.col("quality_grade") > grade))
+    tie_later = (F.col("taxon_id") > taxon) | ((F.col("taxon_id") == taxon) & grade_later)
+    beyond = F.col(column) > value if ascends else F.col(column) < value
+    later = beyond | (F.col(column).isNull() & value.isNotNull()) | (F.col(column).eqNullSafe(value) & tie_later)
+    return df.filter(later).orderBy(sort, *SPECIES_TIES).limit(page_size)
 
 
 def biome_groups(meta: DataFrame) -> DataFrame:

@@ -193,16 +193,21 @@ def identify(
     top_m: int = TOP_M,
     top_k: int = TOP_K,
     weight: float = WEIGHT,
+    only: str | None = None,
 ) -> dict[str, DataFrame]:
     """All stages: stage1 (the part shown), stage2, stage3, predictions, known.
 
     Stage 2 works on the whole of stage 1. The predictions are stage 2 with the
     metadata of the species list. The results of the two vector comparisons are
     checkpointed: they are short, several outputs read them, and a lost executor
-    must not cause a second comparison.
+    must not cause a second comparison. These checkpoints run when this is called;
+    ``only="stage1"`` plans that stage alone and runs nothing.
     """
+    first = stage1(queries, text_clip, text_bio, species, top_m)
+    if only == "stage1":
+        return {"stage1": first.filter(F.col("rank") <= SHOWN_STAGE1)}
     shared_folder(queries.sparkSession)
-    first = stage1(queries, text_clip, text_bio, species, top_m).checkpoint()
+    first = first.checkpoint()
     second = stage2(first, queries, anchors, weight, top_k).checkpoint()
     predictions = augment_predictions(second, species)
     return {
