@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from wildgrid.llm.common import bound_batches, col, whole_text, written
 
 BUCKETS = 1 << 14
+# Shares in which the sample of a language is picked.
+SHARES = 256
 # Character evidence beyond so many grams adds nothing: neighbouring grams repeat each other.
 FULL_EVIDENCE = 60.0
 
@@ -102,11 +104,15 @@ class TextModel:
 def train(spark: SparkSession, documents: DataFrame, fit_rows: int = 500) -> TextModel:
     """Gram counts of at most ``fit_rows`` documents of each language."""
     bound_batches(spark)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = (
-        documents.select("doc_id", F.lower("lang").alias("lang")).filter("doc_id is not null and lang is not null")
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_rows).select("doc_id", "lang").distinct()
-    )
+    named = documents.select("doc_id", F.lower("lang").alias("lang")).filter("doc_id is not null and lang is not null")
+    ids = named.withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
+    # The least hashes of each share of a language first, then of the language: no task sees
+    # all documents of a language.
+    ids = ids.withColumn("share", F.pmod("hash", F.lit(SHARES)))
+    for group in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy("hash", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_rows).drop("n")
+    ids = ids.select("doc_id", "lang").distinct()
 
     def counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum((gram_counts(t) for t in rows["text"]), np.zeros(BUCKETS, np.int64))
