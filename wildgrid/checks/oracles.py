@@ -413,6 +413,10 @@ select 'taxon_tree', count(*) from taxon_tree union all
 select 'species_list', count(*) from (select distinct taxon_id, quality_grade from joined where "rank" = 'species') x union all
 select 'ecoregions', count(*) from ecoregions where eco_id > 0 union all
 select 'ecoregion_h3_cells', count(*) from region_cells"""),
+    "dump_observations": _sql(["obs_dump"], "", "select * from obs_dump"),
+    "dump_taxa": _sql(["taxa_raw"], "", "select * replace (cast(taxon_id as integer) as taxon_id) from taxa_raw"),
+    "dump_vernacular": _sql(["vernacular_raw"], "", "select * from vernacular_raw"),
+    "dump_description": _sql(["description_raw"], "", "select * from description_raw"),
     "roundtrip_sink": _sql(
         ["obs_dump", "taxa_raw", "taxa", "photos_raw", "vernacular_raw", "description_raw", "ecoregions"],
         _PHOTOS + "," + _VERNACULAR + "," + _DESCRIPTION, """

@@ -15,7 +15,7 @@ from wildgrid.operators.grid import assign_cells, cell_sets, cover_polygons
 from wildgrid.operators.taxonomy import match_names, match_rate
 from wildgrid.plans import aggregates as agg, cleaning, dashboard as dash, external, identification as ident
 from wildgrid.plans.profile import species_profiles
-from wildgrid.sources import features as feat, inventory as inv, tables as tab
+from wildgrid.sources import delimited, features as feat, inventory as inv, tables as tab
 from wildgrid.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,6 +214,17 @@ def roundtrip_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tab.catalog_status(back)
 
 
+def dumped(t: Tables, view: str, file: str) -> str:
+    """A fresh folder with the view written as a delimited dump, quoted where it must be."""
+    folder = fresh_path(t.spark, "dump")
+    (
+        t.view(view).write.option("sep", "\t").option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(f"{folder}/{file}")
+    )
+    return folder
+
+
 def _on(plan: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(Tables(spark, sf_dir))
 
@@ -301,6 +312,16 @@ QUERIES: dict[str, Query] = {
     "external_species": _on(lambda t: t.external),
     "external_page": _on(lambda t: external.external_page(t.external, "brand|ring", 2, 24, "obs")),
     # Files
+    "dump_observations": _on(
+        lambda t: delimited.read_observations(t.spark, f"{dumped(t, 'obs_dump', 'observations.tsv')}/observations.tsv")
+    ),
+    "dump_taxa": _on(lambda t: delimited.read_taxa(t.spark, f"{dumped(t, 'taxa_raw', 'taxa.tsv')}/taxa.tsv")),
+    "dump_vernacular": _on(
+        lambda t: delimited.read_checklist(t.spark, dumped(t, "vernacular_raw", "VernacularName.tsv"), "vernacular")
+    ),
+    "dump_description": _on(
+        lambda t: delimited.read_checklist(t.spark, dumped(t, "description_raw", "Description.tsv"), "description")
+    ),
     "json_probe": json_probe,
     "catalog_status": _on(catalog_status),
     "roundtrip_sink": roundtrip_sink,
