@@ -106,10 +106,10 @@ def train(spark: SparkSession, documents: DataFrame, fit_rows: int = 500) -> Tex
     bound_batches(spark)
     named = documents.select("doc_id", F.lower("lang").alias("lang")).filter("doc_id is not null and lang is not null")
     ids = named.withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
-    # The least hashes of each share of a language first, then of the language: no task sees
-    # all documents of a language.
-    ids = ids.withColumn("share", F.pmod("hash", F.lit(SHARES)))
-    for group in (["lang", "share"], ["lang"]):
+    # The least hashes of each share of a language, then of sixteen shares, then of the
+    # language: no task sees all documents of a language.
+    ids = ids.withColumn("share", F.pmod("hash", F.lit(SHARES))).withColumn("wider", F.pmod("share", F.lit(16)))
+    for group in (["lang", "share"], ["lang", "wider"], ["lang"]):
         order = Window.partitionBy(*group).orderBy("hash", "doc_id")
         ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fit_rows).drop("n")
     ids = ids.select("doc_id", "lang").distinct()
