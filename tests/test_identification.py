@@ -181,6 +181,21 @@ def test_augmenting_keeps_values_without_metadata(spark):
     ], key=repr)
 
 
+def test_augmenting_falls_back_on_other_names(spark):
+    predictions = spark.createDataFrame(
+        [(1, "", "ANT", "bee"), (2, None, "", "Bee"), (3, "cat", "ant", None), (4, "", None, "")],
+        "query_id int, name string, target_species string, species string",
+    )
+    species = spark.createDataFrame([(-1, "Ant", "F1", None, None, None, False), (-2, "bee", "F2", None, None, None, False)], SPECIES)
+    assert rows(augment_predictions(predictions, species), "query_id", "name", "taxon_id", "family") == sorted(
+        [(1, "ANT", -1, "F1"), (2, "Bee", -2, "F2"), (3, "cat", None, None), (4, "", None, None)], key=repr
+    )
+    unnamed = augment_predictions(predictions.drop("name"), species)
+    assert rows(unnamed, "query_id", "name", "family") == sorted(
+        [(1, "ANT", "F1"), (2, "Bee", "F2"), (3, "ant", "F1"), (4, None, None)], key=repr
+    )
+
+
 def test_first_per_key_treats_null_as_a_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z"), (None, 4, "w")], "k string, o int, v string")
     assert rows(first_per_key(df, ["k"], ["o"])) == sorted([("a", 1, "y"), (None, 3, "z")], key=repr)

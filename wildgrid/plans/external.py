@@ -39,19 +39,27 @@ def external_details(species: DataFrame, ids: DataFrame) -> DataFrame:
     return flt.keyed(species, ids, "taxon_id")
 
 
+# Fixed value: fields that can name a prediction, in order.
+NAMES = ["name", "target_species", "species"]
+
+
 def augment_predictions(predictions: DataFrame, species: DataFrame) -> DataFrame:
     """Replace prediction fields by the metadata of the species of that name, where it has any.
 
-    Names are compared without case; of several species the first id counts,
-    which is the largest of the negative ids.
+    A prediction is known by the first of ``NAMES`` that it has and that is not empty, which
+    becomes its name. Names are compared without case; of several species the first id
+    counts, which is the largest of the negative ids.
     """
+    offered = [F.nullif(F.col(c), F.lit("")) for c in NAMES if c in predictions.columns]
+    blank = [F.col("name")] if "name" in predictions.columns else []
+    predictions = predictions.withColumn("name", F.coalesce(*offered, *blank))
     fields = ["taxon_id", "family", "order", "image_url", "dataset_records"]
     by_name = (
         species.filter("name is not null")
         .groupBy(F.lower("name").alias("meta_key"))
         .agg(F.max(F.struct("taxon_id", "family", "order", "image_url", "dataset_records")).alias("meta"))
     )
-    joined = predictions.join(by_name, F.lower(predictions["name"]) == F.col("meta_key"), "left")
+    joined = predictions.join(by_name, F.lower(F.nullif(predictions["name"], F.lit(""))) == F.col("meta_key"), "left")
     kept = [F.col(f"`{c}`") for c in predictions.columns if c not in fields]
     filled = [
         F.coalesce(F.col(f"meta.`{c}`"), F.col(f"`{c}`")).alias(c) if c in predictions.columns
