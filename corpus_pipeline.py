@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wildgrid.llm import byte_bpe, decontaminate, line_dedup, quality, registry, simhash
+from wildgrid.llm import byte_bpe, decontaminate, jaccard, line_dedup, quality, registry, simhash
 from wildgrid.llm.common import table, whole_text, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,6 +47,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(F.size("_hits.spans") == 0).select(*docs.columns)
 
 
+def one_of_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 4/5 of its five-word shingles: fingerprints miss many."""
+    return jaccard.one_of_each(spark, docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of the bytes they decode to."""
     return byte_bpe.digests(docs, registry.tokenizer(spark))
@@ -57,6 +62,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("line_dedup", without_common_lines),
     ("near_dedup", one_of_near_copies),
     ("decontaminate", without_benchmark),
+    ("edited_copies", one_of_edited_copies),
     ("encode", encoded),
 ]
 

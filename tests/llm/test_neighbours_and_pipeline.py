@@ -107,3 +107,50 @@ def test_pipeline_run_keeps_good_rows(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < out.count() < table(spark, FOLDER, "documents").count()
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def jaccard_groups(texts):
+    """Least id of the component of every id, by comparing all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            both = len(sets[i] & sets[j])
+            if i < j and root[i] != root[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_edited_copies_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts, passage = {}, " ".join(rng.choice(vocabulary, 30))
+    for k in range(40):
+        words = list(rng.choice(vocabulary, int(rng.integers(3, 160))))
+        texts[100 * k] = " ".join(words)
+        for c in range(1, 5):
+            for at in rng.integers(0, len(words), 1 + len(words) // 60):
+                words[at] = "edited"
+            texts[100 * k + c] = " ".join(words)
+        texts[100 * k + 9] = passage + " " + " ".join(rng.choice(vocabulary, int(rng.integers(1, 9))))
+    texts |= {9001: "", 9002: None, 9003: "A  b", 9004: "a b", 9005: "a b c d e", 9006: "a b c d"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_groups(texts)
+    assert 40 < len(set(want.values())) < len(texts)
+    got = {r.doc_id for r in corpus_pipeline.one_of_edited_copies(spark, df, FOLDER).collect()}
+    assert got == set(want.values())
+
+
+@needs_tables
+def test_pipeline_run_leaves_no_edited_copies(spark):
+    docs = table(spark, FOLDER, "documents")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, FOLDER)
+    left = {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in left}
+    assert len(set(jaccard_groups(texts).values())) == len(texts) == len(left)

@@ -319,13 +319,13 @@ def digests(spark: SparkSession, documents: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, documents: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``documents`` with one row of each component, that of the least id.
 
-    Of rows that share this id, the one with the least text hash stays; of rows that share
+    ``groups`` has doc, text_hash and component of every document, those of ``near_groups`` by default. Of rows that share this id, the one with the least text hash stays; of rows that share
     both, one.
     """
-    groups = near_groups(spark, documents)
+    groups = near_groups(spark, documents) if groups is None else groups
     kept = groups.groupBy("component").agg(
         F.min(F.struct(F.col("doc").isNull(), "doc", "text_hash")).alias("k"), F.count(F.lit(1)).alias("n")
     ).select(F.col("k.doc").alias("_doc"), F.col("k.text_hash").alias("_hash"))
