@@ -122,3 +122,12 @@ def test_licenses(spark):
         (6, 4, 1, "BSD-3-Clause"), (7, 1, 0, ""), (None, 1, 1, "CC0-1.0"), (8, 0, 0, ""),
     }
     assert licenses.digests(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_every_known_sentence_is_found_in_a_text(spark):
+    names = list(licenses.SENTENCES)
+    rows = [(k, f"Before it. {licenses.SENTENCES[n]}\nAfter it.") for k, n in enumerate(names)]
+    got = {r.doc_id: r.sentence_ids for r in licenses.digests(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(names))
+    both = f"{licenses.SENTENCES['mpl-2']} {licenses.SENTENCES['mpl-2-dist']} See appendix v. Licensed under CC BY 4.0."
+    assert licenses.digests(frame(spark, [(1, both)])).first().licenses == "CC-BY-4.0,MPL-2.0"

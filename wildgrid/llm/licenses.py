@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
 A text is cut into sentences at line breaks and after full stops, exclamation and question
-marks that blanks follow. Sentences in normal form (lower case, runs of other characters
+marks that blanks follow, but not in "v. 2". Sentences in normal form (lower case, runs of other characters
 than a-z and 0-9 as one blank) are mapped to identifiers of known licence sentences. The
 identifiers of a text, in their order, are matched against rules: a rule is an ordered list
 of identifiers of one licence. Longer rules are matched first and use up what they match,
@@ -120,7 +120,8 @@ def sentence_ids(text: Column) -> Column:
     known = known_sentences()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.lower(text)
-    cut = F.split(F.regexp_replace(low, r"([.!?])[ \t\r]+", "$1\n"), "\n", -1)
+    # The full stop of "v. 2" ends no sentence.
+    cut = F.split(F.regexp_replace(low, r"([!?]|(?<!\bv)\.|\.(?![ \t\r]+[0-9]))[ \t\r]+", "$1\n"), "\n", -1)
     # Known sentences are of limited length, so other lines need no normal form.
     longest = 2 * max(map(len, SENTENCES.values()))
     short = F.filter(cut, lambda s: F.char_length(s).between(5, longest))
