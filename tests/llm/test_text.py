@@ -131,3 +131,10 @@ def test_every_known_sentence_is_found_in_a_text(spark):
     assert got == dict(enumerate(names))
     both = f"{licenses.SENTENCES['mpl-2']} {licenses.SENTENCES['mpl-2-dist']} See appendix v. Licensed under CC BY 4.0."
     assert licenses.digests(frame(spark, [(1, both)])).first().licenses == "CC-BY-4.0,MPL-2.0"
+
+
+def test_padded_license_lines(spark):
+    s = licenses.SENTENCES["mit-short"]
+    rows = [(1, " " * 500 + s), (2, "/" + "*" * 300 + " " + s + " " + "*" * 300 + "/"), (3, "許諾" * 200 + " " + s), (4, "x" * 400 + " " + s)]
+    got = {r.doc_id: r.licenses for r in licenses.digests(frame(spark, rows)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: ""}

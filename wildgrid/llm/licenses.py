@@ -122,10 +122,8 @@ def sentence_ids(text: Column) -> Column:
     low = F.lower(text)
     # The full stop of "v. 2" ends no sentence.
     cut = F.split(F.regexp_replace(low, r"([!?]|(?<!\bv)\.|\.(?![ \t\r]+[0-9]))[ \t\r]+", "$1\n"), "\n", -1)
-    # Known sentences are of limited length, so other lines need no normal form.
-    longest = 2 * max(map(len, SENTENCES.values()))
-    short = F.filter(cut, lambda s: F.char_length(s).between(5, longest))
-    forms = F.transform(short, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    # Any length may do: runs of other characters are one blank in normal form.
+    forms = F.transform(F.filter(cut, lambda s: F.char_length(s) >= 5), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     ids = F.transform(F.filter(forms, lambda s: s.isin(list(known))), lambda s: lookup[s])
     return F.when(low.rlike("|".join(CUES)), ids).otherwise(F.array().cast("array<string>"))
 
