@@ -113,3 +113,15 @@ def test_host_prior_decides_a_silent_page(spark):
     got = language_id.identify(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), docs)
     lang = {r.page_id: r.lang for r in got.collect()}
     assert lang[100] == "de" and lang[101] == "en" and lang[0] == "en" and lang[45] == "de"
+
+
+def test_text_of_all_main_parts():
+    def words(page):
+        return language_id.visible_text(page).split()
+
+    assert words("<p>x</p><article>one</article> y <ARTICLE class=a>two</ARTICLE ><p>z</p>") == ["one", "two"]
+    assert words("<article>a<article>b</article>c</article>d") == ["a", "b", "c"]
+    assert words("a<main>b<article>c</article>d</main>e<article>f</article>g") == ["b", "c", "d", "f"]
+    assert words("<article> 1 &nbsp;</article><p>whole page</p>") == ["1", "whole", "page"]
+    assert words("<p>no</p><main>not closed") == ["not", "closed"]
+    assert words("</article>a<p>b") == ["a", "b"] and words(None) == []

@@ -44,14 +44,29 @@ FULL_EVIDENCE = 60.0
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_MAIN = re.compile(r"<(article|main)\b.*?</\1\s*>", re.S | re.I)
+_MAIN = re.compile(r"<(/?)(article|main)(?=[\s/>])[^>]*>", re.I)
+
+
+def main_parts(shown: str) -> list[str]:
+    """The outermost article and main elements; one that is not closed goes on to the end."""
+    parts, name, start, depth = [], "", 0, 0
+    for tag in _MAIN.finditer(shown):
+        closes, own = bool(tag.group(1)), tag.group(2).lower()
+        if not depth:
+            if not closes:
+                name, start, depth = own, tag.start(), 1
+        elif own == name:
+            depth += -1 if closes else 1
+            if not depth:
+                parts.append(shown[start : tag.end()])
+    return parts + [shown[start:]] * (depth > 0)
 
 
 def visible_text(page: str | None) -> str:
-    """Text of the main part, or of the whole page if it marks none."""
+    """Text of the main parts, or of the whole page if they hold no words."""
     shown = _HIDDEN.sub(" ", page or "")
-    main = _MAIN.search(shown)
-    return html.unescape(_TAG.sub(" ", main.group() if main else shown))
+    main = html.unescape(_TAG.sub(" ", " ".join(main_parts(shown))))
+    return main if any(map(str.isalpha, main)) else html.unescape(_TAG.sub(" ", shown))
 
 
 def declared_language(page: str | None) -> str | None:
