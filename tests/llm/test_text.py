@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -138,3 +139,28 @@ def test_padded_license_lines(spark):
     rows = [(1, " " * 500 + s), (2, "/" + "*" * 300 + " " + s + " " + "*" * 300 + "/"), (3, "許諾" * 200 + " " + s), (4, "x" * 400 + " " + s)]
     got = {r.doc_id: r.licenses for r in licenses.digests(frame(spark, rows)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: ""}
+
+
+def test_notices_in_any_wrapping(spark):
+    def whole(*names):
+        return " ".join(next(s for i, s in licenses.WHOLE if n in i.split()) for n in names)
+
+    gpl = whole("gpl-version-3", "gpl-no-warranty", "gpl-details")
+    older = gpl.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    url = "http://www.apache.org/licenses/LICENSE-2.0"
+    apache = whole("apache-header") + f" You may obtain a copy of the License at {url} " + whole("apache-required", "apache-see")
+    bsd = "{} 1. {} 2. {}".format(*map(whole, ("bsd-redistribution", "bsd-source", "bsd-binary")))
+    notices = {"MIT": whole("mit-grant", "mit-notice", "mit-as-is"), "GPL-3.0": gpl, "GPL-2.0": older, "Apache-2.0": apache,
+               "BSD-2-Clause": bsd, "BSD-3-Clause": f"{bsd} 3. {whole('bsd-endorse')}", "ISC": whole("isc-grant"),
+               "MPL-2.0": licenses.SENTENCES["mpl-2"]}
+    rows, want = [], {}
+    for k, (name, notice) in enumerate(notices.items()):
+        for width in (28, 45, 72, 100, 9999):
+            for start in ("", "# ", " * "):
+                want[len(rows)] = (1, name)
+                lines = "\n".join(start + line for line in textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False))
+                rows.append((len(rows), f"Some words before\n\n{lines}\n\nand after"))
+    rows.append((len(rows), "Permission is hereby granted, free of\n\ncharge, to any person obtaining a copy"))
+    want[len(rows) - 1] = (0, "")
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in licenses.digests(frame(spark, rows)).collect()}
+    assert got == want

@@ -1,18 +1,22 @@
 """License scans by sentence rules.
 
 A text is cut into sentences at line breaks and after full stops, exclamation and question
-marks that blanks follow, but not in "v. 2". Sentences in normal form (lower case, runs of other characters
-than a-z and 0-9 as one blank) are mapped to identifiers of known licence sentences. The
-identifiers of a text, in their order, are matched against rules: a rule is an ordered list
-of identifiers of one licence. Longer rules are matched first and use up what they match,
-so a notice of several sentences is not counted again as a shorter one. Unknown sentences
-between known ones do not matter.
+marks that blanks follow, but not in "v. 2". Sentences in normal form (lower case, runs of
+other characters than a-z and 0-9 as one blank) are mapped to identifiers of known licence
+sentences. A known sentence may be broken over the lines of a paragraph in any way, and the
+longest one counts. The identifiers of a text, in their order, are matched against rules: a
+rule is an ordered list of identifiers of one licence. Longer rules are matched first and use
+up what they match, so a notice of several sentences is not counted again as a shorter one.
+Unknown sentences between known ones do not matter.
 
 All steps are column expressions over one text, without a shuffle. A text without any of
 the cue words is not cut: every known sentence holds a cue.
 
+The SQL knows single lines only: it finds a notice of several lines in its usual wrapping,
+and takes the GPL's header for version 3.
+
 NULL and empty texts have no sentences and no licences. Repeated rows give equal rows, and
-an empty table gives none. A sentence that is broken over lines is not known.
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -97,6 +101,50 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 
+# Whole sentences whose lines are above, with the identifiers they stand for. One
+# that ends in a colon or an address may be followed by anything.
+WHOLE = [
+    ("apache-header apache-comply", 'Licensed under the Apache License, Version 2.0 (the "License"); '
+     "you may not use this file except in compliance with the License."),
+    ("apache-copy", "You may obtain a copy of the License at:"),
+    ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0:"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0:"),
+    ("apache-required apache-as-is apache-warranty", "Unless required by applicable law or agreed to in writing, software "
+     'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+     "either express or implied."),
+    ("apache-see apache-limits", "See the License for the specific language governing permissions and limitations under the License."),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+     "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+     "portions of the Software."),
+    ("mit-as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+     "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    *[(f"gpl-free gpl-terms gpl-version-{n}", "This program is free software: you can redistribute it and/or modify it under "
+       "the terms of the GNU General Public License as published by the Free Software Foundation, " + version)
+      for n in (2, 3)
+      for version in (f"either version {n} of the License, or (at your option) any later version.", f"version {n} of the License.", f"version {n}.")],
+    ("gpl-no-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+     "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("gpl-details", "See the GNU General Public License for more details."),
+    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met:"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+     "following disclaimer."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+     "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+]
+
+# In place of the rule of the GPL's header, which names no version.
+_NO_VERSION = ("GPL-3.0", ["gpl-free", "gpl-terms", "gpl-no-warranty", "gpl-details"])
+VERSION_RULES = [(f"GPL-{n}.0", ["gpl-free", "gpl-terms", f"gpl-version-{n}", *rest])
+                 for n in (2, 3) for rest in (["gpl-no-warranty", "gpl-details"], [])]
+
 # Every known sentence holds one of these.
 CUES = ["licens", "permission", "redistribut", "warrant", "copyright", "public domain", "terms of the gnu", "agreed to in writing"]
 
@@ -115,23 +163,32 @@ def rules() -> list[tuple[str, list[str]]]:
     return sorted(RULES, key=lambda rule: -len(rule[1]))
 
 
+def whole_rules() -> list[tuple[str, list[str]]]:
+    """The rules over whole sentences, the longest first."""
+    return sorted([r for r in RULES if r != _NO_VERSION] + VERSION_RULES, key=lambda rule: -len(rule[1]))
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = known_sentences()
+    known = known_sentences() | {normal(s): names for names, s in WHOLE}
+    is_open = {normal(s) for _, s in WHOLE if s.endswith(":")}
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.lower(text)
-    # The full stop of "v. 2" ends no sentence.
-    cut = F.split(F.regexp_replace(low, r"([!?]|(?<!\bv)\.|\.(?![ \t\r]+[0-9]))[ \t\r]+", "$1\n"), "\n", -1)
-    # Any length may do: runs of other characters are one blank in normal form.
-    forms = F.transform(F.filter(cut, lambda s: F.char_length(s) >= 5), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.transform(F.filter(forms, lambda s: s.isin(list(known))), lambda s: lookup[s])
-    return F.when(low.rlike("|".join(CUES)), ids).otherwise(F.array().cast("array<string>"))
+    # In the normal form of the text, S stands for the end of a sentence and L for that of a line.
+    ends = F.regexp_replace(low, r"([!?]|(?<!\bv)\.|\.(?![^a-z0-9]+[0-9]))(?=[ \t\r\n])", " S ")
+    form = F.regexp_replace(F.concat(F.lit("\n"), ends, F.lit("\n")), "\n", " L ")
+    form = F.trim(F.regexp_replace(form, "[^a-z0-9LS]+", " "))
+    one = [f.replace(" ", "(?: L)? ") + ("(?= )" if f in is_open else "(?= [LS])") for f in sorted(known, key=len, reverse=True)]
+    # What follows an open sentence directly is the start of another.
+    found = F.regexp_extract_all(form, F.lit(rf"(?:(?<=[LS] )|\G )({'|'.join(one)})"), F.lit(1))
+    names = F.transform(found, lambda s: F.split(lookup[F.replace(s, F.lit(" L "), F.lit(" "))], " "))
+    return F.when(low.rlike("|".join(CUES)), F.flatten(names)).otherwise(F.array().cast("array<string>"))
 
 
 def matched(ids: Column) -> Column:
     """The licences whose rules match, one entry for each match, in order of place."""
     sequence = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    for licence, names in rules():
+    for licence, names in whole_rules():
         sequence = F.replace(sequence, F.lit("".join(f"<{n}>" for n in names)), F.lit(f"{{{licence}}}"))
     return F.regexp_extract_all(sequence, F.lit(r"\{([^}]+)\}"), F.lit(1))
 
@@ -154,7 +211,7 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL."""
+    """The same in SQL, of single lines."""
     known = known_sentences()
     pairs = ", ".join(f"('{form}', '{name}')" for form, name in known.items())
     sequence = "seq"
