@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wildgrid.session import fresh_path
 
@@ -62,3 +64,66 @@ def training_rows(
     )
     texts = documents.select(F.col("doc_id"), whole_text("text").alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("text", "label")
+
+
+def row_keys(df: DataFrame, text: Column, doc: str) -> list[Column]:
+    """k1 and k2 know a row by its text and its id; rows that agree in both are alike."""
+    integral = df.schema[doc].dataType.simpleString() in ("bigint", "int")
+    number = col(doc).cast("long") if integral else F.xxhash64(col(doc))
+    return [F.xxhash64(text).alias("k1"), F.coalesce(number, F.lit(0)).alias("k2")]
+
+
+def packed_texts(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, text, id) with the text compressed, for the way through a shuffle; see ``unpacked``."""
+    kind = keyed.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=4).compress
+        for batch in batches:
+            texts = pa.array([press(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, batch.column(3)],
+                                             names=["k1", "k2", "packed", "id"])
+
+    rows = keyed.select("k1", "k2", F.col("text").cast("binary"), "id")
+    return rows.mapInArrow(pack, f"k1 long, k2 long, packed binary, id {kind}")
+
+
+def unpacked(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+_SLICE_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low bits
+
+
+def with_places(
+    spark: SparkSession, df: DataFrame, group: list[str], order: list[str], place: str,
+    ranges: list[Column] | None = None, keep: list[str] | None = None,
+) -> DataFrame:
+    """Add the 0-based place of each row in its group, in the given order, NULLs first.
+
+    No group is in one task: rows are range-partitioned, sorted and written, and what is
+    summed up is one count per slice and group. ``ranges`` may be coarser than ``order``
+    where its values are long; NULL is a group like any other. Columns not in ``keep`` are
+    sorted by, but not written.
+    """
+    keep = keep or df.columns
+    by = [col(c) for c in [*group, *order]]
+    rows = df.repartitionByRange(*(ranges or by)).sortWithinPartitions(*by)
+    rows = written(spark, rows.select(*[col(c) for c in keep], F.monotonically_increasing_id().alias("_at")), "places")
+    rows = rows.withColumn("_slice", F.shiftright("_at", _SLICE_BITS))
+    counts = rows.groupBy(*group, "_slice").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *[col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_slice").alias("_s"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    same = F.col("_slice") == F.col("_s")
+    for k, c in enumerate(group):
+        same = same & col(c).eqNullSafe(F.col(f"_g{k}"))
+    return rows.join(counts, same).select(
+        *[col(c) for c in keep], (F.col("_at") + F.col("_shift")).alias(place)
+    )

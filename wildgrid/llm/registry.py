@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wildgrid.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, neighbours, quality, simhash, suffix_dedup, toxicity
+from wildgrid.llm import (
+    byte_bpe, decontaminate, language_id, licenses, line_dedup, merkle_manifest, neighbours, oracles, prefix_trie,
+    quality, simhash, substring_dedup, suffix_dedup, toxicity,
+)
 from wildgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +61,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digests(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digests(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +84,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Words of a text as the contract of op6 cuts them.
@@ -127,4 +145,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """,
     "op10_licenses": licenses.oracle(),
+    "op11_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
