@@ -2,43 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wildgrid import schemas
+from wildgrid.sources import quoted
 
-_BAD = "_bad_line"
+_BAD, _FILE = "_bad_line", "_source_file"
 
 
 def _parsed(
     spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool
 ) -> tuple[DataFrame, int]:
-    """All columns of the header, each line that does not fit in _BAD, and the header's length.
+    """All columns of the header, each line that does not fit in _BAD, its file, and the header's length.
 
     Fields may be quoted; a quote inside is doubled, and with ``multi_line`` a quoted field
     may hold line breaks.
     """
-    reader = (
-        spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"')
-    )
-    header = reader.csv(path, inferSchema=False).columns
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    header = spark.read.options(**options).option("header", True).csv(path, inferSchema=False).columns
     wanted = {f.name: f.dataType for f in schema.fields}
-    full = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header])
+    full = T.StructType([T.StructField(c, wanted.get(c, T.StringType())) for c in header]).add(_BAD, T.StringType())
     # All fields are parsed, so that the field count of every line is seen.
-    lines = (
-        reader.option("mode", "PERMISSIVE")
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", _BAD)
-        .schema(full.add(_BAD, T.StringType()))
-        .csv(path)
-    )
-    return lines, len(header)
-
-
-def _n_fields(line: Column, sep: str) -> Column:
-    """Number of fields of a line; separators inside quotes don't count."""
-    unquoted = F.regexp_replace(line, '"(?:[^"]|"")*"', "")
-    return F.size(F.split(unquoted, sep.replace("|", r"\|")))
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    if multi_line:
+        kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in full.fields)
+        records = quoted.read_records(spark, path, sep).select(
+            F.col("source_file").alias(_FILE), F.from_csv("record", kinds, options).alias("fields")
+        )
+        return records.select("fields.*", _FILE), len(header)
+    reader = spark.read.options(**options).option("header", True).option("columnPruning", False)
+    lines = reader.schema(full).csv(path)
+    return lines.select("*", F.col("_metadata.file_path").alias(_FILE)), len(header)
 
 
 def read_delimited(
@@ -55,12 +49,12 @@ def read_delimited(
     field that does not parse. ``drop="long"`` leaves out only lines with too
     many fields; short lines are filled with NULL and a bad field becomes NULL.
     ``drop="fail"`` raises at a line with too many fields. ``multi_line`` accepts
-    line breaks inside quotes, at the price of reading each file in one task.
+    line breaks inside quotes; files are split all the same, see ``quoted``.
     ``rejected_lines`` lists what is left out.
     """
     lines, size = _parsed(spark, path, schema, sep, multi_line)
     bad = F.col(_BAD)
-    long = bad.isNotNull() & (_n_fields(bad, sep) > size)
+    long = bad.isNotNull() & (quoted.n_fields(bad, sep) > size)
     if drop == "any":
         lines = lines.filter(bad.isNull())
     elif drop == "fail":
@@ -76,12 +70,12 @@ def rejected_lines(
 ) -> DataFrame:
     """(source_file, line, reason) of the lines that ``read_delimited`` leaves out."""
     lines, size = _parsed(spark, path, schema, sep, multi_line)
-    fields = _n_fields(F.col(_BAD), sep)
+    fields = quoted.n_fields(F.col(_BAD), sep)
     reason = F.when(fields > size, "too many fields").when(fields < size, "too few fields").otherwise("unreadable field")
     # A scan may not read the bad lines alone: the test also names a column, and always holds.
     named = F.coalesce(F.col(f"`{lines.columns[0]}`").cast("string"), F.lit("")) >= ""
     bad = lines.filter(F.col(_BAD).isNotNull() & named).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col(_BAD).alias("line"), reason.alias("reason")
+        F.col(_FILE).alias("source_file"), F.col(_BAD).alias("line"), reason.alias("reason")
     )
     return bad if drop == "any" else bad.filter("reason = 'too many fields'")
 
