@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wildgrid import schemas
 from wildgrid.operators import filters as flt
 from wildgrid.operators.numbering import first_per_key, with_position
 from wildgrid.plans.dashboard import page
-from wildgrid.sources.documents import extract_records
+from wildgrid.sources.documents import extract_records, read_records
 
 SORT = {"name": "name", "obs": "dataset_records"}
 
 
 def external_species(documents: DataFrame) -> DataFrame:
     """One row per name, the first kept, with ids -1, -2, ... in document order."""
-    records = extract_records(documents).drop("external_id")
+    return numbered_species(extract_records(documents))
+
+
+def external_species_of(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The species of all .json files below ``root``, whatever their size, and what was rejected."""
+    records, rejected = read_records(spark, root)
+    return numbered_species(records), rejected
+
+
+def numbered_species(records: DataFrame) -> DataFrame:
+    records = records.drop("external_id")
     named = first_per_key(records, ["name"], ["source_file", "position"])
     numbered = with_position(named, ["source_file", "position"], "nth")
     return schemas.enforce(numbered.withColumn("taxon_id", -1 - F.col("nth")), schemas.EXTERNAL_SPECIES)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wildgrid.sources.documents import CutDocuments
+
 META = ["eco_id", "eco_name", "biome_num", "biome_name", "realm"]
 # Attribute names of the source features, in the order of META.
 SOURCE_META = ["ECO_ID", "ECO_NAME", "BIOME_NUM", "BIOME_NAME", "REALM"]
@@ -43,21 +45,37 @@ def _parts(geometry: Column) -> Column:
     return F.coalesce(solid, F.array().cast(_MULTI))
 
 
+def _collected(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(source_file, position, value) of the features of collection files, and what is none."""
+    cut = CutDocuments(spark, path)
+    items = cut.items(["features"]).select("source_file", "position", F.col("record").alias("value"))
+    # A text that is no object, or broken, has no members.
+    type_of = F.from_json("value", "map<string, string>")["type"]
+    is_feature = F.coalesce(type_of == "Feature", F.lit(False))
+    listed = cut.members().filter("is_list and key = 'features'").select("source_file")
+    without = cut.files.filter("valid").join(listed, "source_file", "left_anti").select(
+        "source_file", F.lit(None).cast("long").alias("position"), F.lit("no list of features").alias("reason"))
+    odd = items.filter(~is_feature).select("source_file", "position", F.lit("not a feature").alias("reason"))
+    return items.filter(is_feature), cut.invalid().unionByName(without).unionByName(odd)
+
+
 def read_features(spark: SparkSession, path: str, one_per_line: bool = True) -> DataFrame:
     """GeoJSON features from files of one feature per line, or of one collection each.
 
-    Line files split over tasks; a collection file is read whole by one task. A line that is
-    not a feature, such as one of a collection, is an error.
+    Files of both layouts are read by many tasks. A line that is not a feature, such as one of
+    a collection, is an error; what is no feature in a collection is in ``rejected_features``.
     """
     if one_per_line:
         message = F.concat(F.lit("not one feature per line: "), F.left("value", F.lit(80)))
         is_feature = F.get_json_object("value", "$.type") == "Feature"
         lines = spark.read.text(path).filter(F.trim("value") != "")
         return parse_features(lines.select(F.when(is_feature, F.col("value")).otherwise(F.raise_error(message)).alias("value")))
-    # json_tuple keeps each feature as text, so both layouts share one parser.
-    whole = spark.read.text(path, wholetext=True)
-    items = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    return parse_features(whole.select(F.explode(items).alias("value")))
+    return parse_features(_collected(spark, path)[0].select("value"))
+
+
+def rejected_features(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, position, reason) of collections, and of their parts, that give no features."""
+    return _collected(spark, path)[1]
 
 
 def valid_features(features: DataFrame) -> DataFrame:

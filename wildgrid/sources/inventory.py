@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wildgrid.functions.numeric import norm
 from wildgrid.functions.text import file_extension, parent_folder, relative_path
-from wildgrid.sources.documents import read_documents
+from wildgrid.sources.documents import LONG_TEXTS, members_of, read_documents
 from wildgrid.sources.tables import read_records, write_json
 
 # Extensions of each kind of file.
@@ -98,27 +98,35 @@ def probe_parquet(inventory: DataFrame, sample_rows: int = 5) -> DataFrame:
 
 
 def probe_json(texts: DataFrame, n_keys: int = 20, n_items: int = 5, n_chars: int = 200) -> DataFrame:
-    """First keys of an object, first items of a list, or first characters of a scalar."""
-    doc = F.col("doc")
-    kind = F.regexp_extract(F.schema_of_variant(doc), "^[A-Z]+", 0)
-    keys = F.slice(F.json_object_keys("text"), 1, n_keys)
-    members = F.map_filter(F.from_json("text", "map<string, variant>"), lambda k, _: F.array_contains(keys, k))
-    items = F.slice(F.try_variant_get(doc, "$", "array<variant>"), 1, n_items)
-    shown = (
-        F.when(F.col("kind") == "OBJECT", F.to_json(members))
-        .when(F.col("kind") == "ARRAY", F.to_json(items))
-        .otherwise(F.left(F.try_variant_get(doc, "$", "string"), F.lit(n_chars)))
+    """First keys of an object, first items of a list, or first characters of a scalar.
+
+    Read by the parser of ``documents``: repeated keys, of which the last counts, NaN and
+    documents of any size are no errors.
+    """
+    text = F.col("text")
+    first = F.left(F.regexp_replace(F.left(text, F.lit(1024)), r"^[\s\x{FEFF}]+", ""), F.lit(1))
+    some = F.slice(F.when(first == "{", members_of(text)), 1, n_keys)
+    items = F.slice(F.when(first == "[", F.from_json(text, "array<string>", LONG_TEXTS)), 1, n_items)
+    scalar = F.when(~F.coalesce(first.isin("{", "["), F.lit(False)), F.try_parse_json(text))
+    # With the types of the values, or as texts if one is larger than a variant may be.
+    typed = F.map_entries(F.from_json(text, "map<string, variant>", LONG_TEXTS))
+    shown = F.coalesce(
+        F.to_json(F.map_from_entries(F.transform("some", lambda e: F.struct(e["key"], F.get(typed, e["at"])["value"])))),
+        F.to_json(F.map_from_entries(F.transform("some", lambda e: F.struct(e["key"], e["value"])))),
+        F.to_json(F.slice(F.from_json(F.when(F.col("items").isNotNull(), text), "array<variant>", LONG_TEXTS), 1, n_items)),
+        F.to_json("items"),
+        F.left(F.try_variant_get("scalar", "$", "string"), F.lit(n_chars)),
     )
-    return (
-        texts.withColumn("doc", F.try_parse_json("text"))
-        .withColumn("kind", kind)
-        .select(
-            F.col("source_file").alias("path"),
-            F.col("kind"),
-            F.when(F.col("kind") == "OBJECT", keys).alias("keys_sample"),
-            shown.alias("preview"),
-            F.when(doc.isNull(), F.lit("not valid JSON")).alias("error"),
-        )
+    kind = (
+        F.when(F.col("some").isNotNull(), "OBJECT").when(F.col("items").isNotNull(), "ARRAY")
+        .otherwise(F.regexp_extract(F.schema_of_variant("scalar"), "^[A-Z]+", 0))
+    )
+    return texts.withColumns({"some": some, "items": items, "scalar": scalar}).select(
+        F.col("source_file").alias("path"),
+        kind.alias("kind"),
+        F.transform("some", lambda e: e["key"]).alias("keys_sample"),
+        shown.alias("preview"),
+        F.when(F.col("some").isNull() & F.col("items").isNull() & F.col("scalar").isNull(), F.lit("not valid JSON")).alias("error"),
     )
 
 

@@ -22,12 +22,18 @@ PLACE = "source_file string, split long"
 
 
 def read_lines(spark: SparkSession, path: str, line_sep: str, **options) -> DataFrame:
-    """(source_file, split, line): lines in their order, each in the split it starts in."""
+    """(source_file, split, line, size, last): lines in order, each in the split it starts in.
+
+    ``size`` is that of the file, ``last`` is true in its last split.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return (
         spark.read.options(**options).option("lineSep", line_sep).text(path)
-        .select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"),
-                F.col("value").alias("line"))
+        .select(
+            F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"),
+            F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"),
+            F.expr("_metadata.file_block_start + _metadata.file_block_length >= _metadata.file_size").alias("last"),
+        )
     )
 
 
@@ -41,8 +47,8 @@ def by_split(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]
         yield batch.column(0)[a].as_py(), int(splits[a]), batch.slice(a, b - a)
 
 
-def summaries(lines: DataFrame, fold: Callable, first, kind: str) -> DataFrame:
-    """One row per split: ``fold`` over its batches, from ``first``, as the columns ``kind``."""
+def summaries(lines: DataFrame, fold: Callable, first, kind: str, finish: Callable = lambda value: value) -> DataFrame:
+    """One row per split: ``fold`` over its batches, from ``first``, then ``finish``, as the columns ``kind``."""
     columns = [c.split()[0] for c in kind.split(", ")]
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +56,7 @@ def summaries(lines: DataFrame, fold: Callable, first, kind: str) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"source_file": [now[0]], "split": pa.array([now[1]], pa.int64()),
-                                               **{c: [v] for c, v in zip(columns, value)}})
+                                               **{c: [v] for c, v in zip(columns, finish(value))}})
 
         for batch in batches:
             for file, split, part in by_split(batch):
