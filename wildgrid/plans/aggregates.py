@@ -82,30 +82,23 @@ def main_photo_per_taxon(
 ) -> DataFrame:
     """Photo with the smallest id of each taxon: address, license, observer's login.
 
-    Only ids travel to the pick: the photos are reduced to the smallest id of each
-    observation, and observations of taxa that are not ``wanted`` are left out before the
-    join. Address, license and observer are looked up for the picked photos. A photo that
-    shows several observations of the taxon takes the smallest of these.
+    Photos and observations are read and joined once. Observations of taxa that are not
+    ``wanted`` are left out before; the pick is a minimum, combined before its shuffle, and
+    observers are looked up for the picked photos only. A photo that shows several
+    observations of the taxon takes the smallest of these.
     """
     shown = photos.filter("photo_url is not null").select("photo_id", "photo_url", "license", "observation_uuid")
     seen = obs.filter("taxon_id is not null").select("observation_uuid", "taxon_id", "observer_id")
     if wanted is not None:
         seen = seen.join(wanted.select("taxon_id"), "taxon_id", "left_semi")
-    first = shown.groupBy("observation_uuid").agg(F.min("photo_id").alias("photo_id"))
     picked = (
-        first.join(seen.select("observation_uuid", "taxon_id"), "observation_uuid")
+        shown.join(seen, "observation_uuid")
         .groupBy("taxon_id")
-        .agg(F.min("photo_id").alias("photo_id"))
-    )
-    details = (
-        shown.join(picked, "photo_id")
-        .join(seen, ["observation_uuid", "taxon_id"])
-        .groupBy("taxon_id")
-        .agg(F.min(F.struct("photo_url", "license", "observer_id")).alias("p"))
+        .agg(F.min(F.struct("photo_id", "photo_url", "license", "observer_id")).alias("p"))
         .select("taxon_id", "p.photo_url", F.col("p.license").alias("photo_license"), "p.observer_id")
     )
     logins = observers.select("observer_id", F.col("login").alias("photo_attribution"))
-    return details.join(logins, "observer_id", "left").drop("observer_id")
+    return picked.join(logins, "observer_id", "left").drop("observer_id")
 
 
 def vernacular_per_taxon(taxon_link: DataFrame, vernacular: DataFrame) -> DataFrame:
