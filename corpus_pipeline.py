@@ -18,38 +18,49 @@ from wildgrid.llm.common import table, whole_text, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front if a column of the documents has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(spark, docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", quality.score(spark, model, whole_text("text")))
-    return scored.filter(F.col("_score") >= quality.ACCEPT).select(*docs.columns)
+    score = free_name(docs, "score")
+    scored = docs.withColumn(score, quality.score(spark, model, whole_text("text")))
+    return scored.filter(F.col(score) >= quality.ACCEPT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that they share with two others or more."""
-    cut = line_dedup.drop_lines(spark, docs, kept="_kept", n_lines="_n_lines", n_dropped="_n_dropped")
-    changed = F.col("_n_dropped") > 0
+    kept, n_lines, n_dropped = (free_name(docs, name) for name in ("kept", "n_lines", "n_dropped"))
+    cut = line_dedup.drop_lines(spark, docs, kept=kept, n_lines=n_lines, n_dropped=n_dropped)
+    changed = F.col(n_dropped) > 0
     new = {
-        "text": F.when(changed, F.col("_kept")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.when(changed, F.col(kept)).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars")),
     }
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(spark, docs)
+    """One document of each group of near copies.
+
+    The fingerprints of four words miss many edited copies, so one of each group that shares
+    4/5 of its five-word shingles stays of what they leave.
+    """
+    left = written(spark, simhash.one_of_each(spark, docs), "pipeline-prints")
+    return jaccard.one_of_each(spark, left)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontaminate.find_windows(spark, docs, table(spark, sf_dir, "benchmark"), hits="_hits")
-    return found.filter(F.size("_hits.spans") == 0).select(*docs.columns)
-
-
-def one_of_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 4/5 of its five-word shingles: fingerprints miss many."""
-    return jaccard.one_of_each(spark, docs)
+    hits = free_name(docs, "hits")
+    found = decontaminate.find_windows(spark, docs, table(spark, sf_dir, "benchmark"), hits=hits)
+    return found.filter(F.size(f"{hits}.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +73,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("line_dedup", without_common_lines),
     ("near_dedup", one_of_near_copies),
     ("decontaminate", without_benchmark),
-    ("edited_copies", one_of_edited_copies),
     ("encode", encoded),
 ]
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wildgrid.llm import decontaminate, neighbours, simhash
+from wildgrid.llm import decontaminate, jaccard, neighbours, simhash
 from wildgrid.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,7 +75,7 @@ def test_few_or_no_vectors(spark):
 def test_pipeline(spark):
     docs = table(spark, FOLDER, "documents")
     odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "s", 0), (90002, "", "en", "s", 0)], docs.schema)
-    docs = docs.unionByName(odd).withColumn("kept", F.lit(3))
+    docs = docs.unionByName(odd).withColumns({c: F.lit(k) for k, c in enumerate(("kept", "_kept", "score", "_score", "Hits", "_hits", "n_lines"))})
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
@@ -86,7 +86,9 @@ def test_pipeline(spark):
         if name == "line_dedup":
             assert docs.count() == before.count()
         if name == "near_dedup":
-            assert kept == {r.component_id for r in simhash.digests(spark, before).collect()}
+            stay = {r.component_id for r in simhash.digests(spark, before).collect()}
+            texts = {r.doc_id: r.text for r in before.collect() if r.doc_id in stay}
+            assert kept == set(jaccard_groups(texts).values())
             assert docs.count() == len(kept)
         if name == "decontaminate":
             found = decontaminate.digests(spark, before, table(spark, FOLDER, "benchmark"))
@@ -142,7 +144,7 @@ def test_edited_copies_against_brute_force(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = jaccard_groups(texts)
     assert 40 < len(set(want.values())) < len(texts)
-    got = {r.doc_id for r in corpus_pipeline.one_of_edited_copies(spark, df, FOLDER).collect()}
+    got = {r.doc_id for r in jaccard.one_of_each(spark, df).collect()}
     assert got == set(want.values())
 
 
