@@ -7,7 +7,8 @@ All shingles are put into one order. Two sets of sizes n and m that share that m
 least k shingles in common among their first n - ceil(4n/5) + k and m - ceil(4m/5) + k
 shingles, whatever the order (k is COMMON, or ceil(4n/5) of the smaller set if that is less).
 So only these are sent, texts that meet under k of them are candidates, and every candidate
-is verified on the whole sets. The order puts shingles last
+is verified on the whole sets. Under a crowded shingle two texts are tried with all others
+first; only texts that these links leave in different components are paired after that. The order puts shingles last
 that are frequent in a sample of the texts: it decides how many candidates there are, not
 which links are found.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wildgrid.llm import simhash
 from wildgrid.llm.common import BLANKS, LOWER_AZ, bound_batches, whole_text, written
@@ -34,6 +35,8 @@ SEED = 42
 SAMPLE, HELD = 4000, 100_000
 # Shingles that a candidate pair must share among the first ones.
 COMMON = 12
+# Points of a shingle from which on two of them are tried for all first.
+CROWD = 8
 _BLANK_TABLE = bytes(0x20 if chr(c) in BLANKS else c for c in LOWER_AZ)
 
 
@@ -88,7 +91,10 @@ def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b): every two points that are near copies; ``points`` has point and text_hash of ``texts``."""
+    """(a, b): links that connect all near copies; ``points`` has point and text_hash of ``texts``.
+
+    Not every pair is listed: within a component that is known already none is.
+    """
     held, counts = frequent(spark, texts)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +113,53 @@ def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame
     shared = cells.groupBy("shingle").agg(F.collect_set(F.struct("point", "size")).alias("at"))
     shared = shared.filter(F.size("at") > 1).select("shingle", F.explode("at").alias("at")).select("shingle", "at.*")
     shared = written(spark, shared, "shared-shingles")
-    other = shared.select("shingle", F.col("point").alias("b"), F.col("size").alias("size_b"))
-    pairs = shared.join(other, "shingle").filter("point < b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size")
-    least = F.least(F.lit(COMMON), F.ceil(F.least("size", "size_b") * 4 / 5))
-    pairs = pairs.groupBy(F.col("point").alias("a"), "b", least.alias("least")).count().filter("count >= least").select("a", "b")
+    found = _verified(spark, texts, points, _star_pairs(shared))
+    roots = components(spark, found)
+    rest = _verified(spark, texts, points, _cross_pairs(shared, roots))
+    return found.unionByName(rest)
+
+
+def _least_shared(size_a: str, size_b: str) -> Column:
+    return F.least(F.lit(COMMON), F.ceil(F.least(size_a, size_b) * 4 / 5))
+
+
+def _fitting(rows: DataFrame) -> DataFrame:
+    """Rows (a, size_a, b, size_b) whose sizes allow a share of 4/5."""
+    return rows.filter("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
+
+
+def _star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): the points of crowded shingles, each with two points that speak for the shingle.
+
+    As many rows as points. Most of a large group of near copies is linked by these, so that
+    its pairs need not be listed.
+    """
+    point = F.struct(F.xxhash64("point").alias("hash"), "point", "size")
+    pivots = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(point).alias("low"), F.max(point).alias("high"))
+    pivots = pivots.filter(F.col("n") > CROWD).select("shingle", F.explode(F.array("low", "high")).alias("pivot"))
+    rows = shared.join(pivots, "shingle").filter("point <> pivot.point").select(
+        F.col("point").alias("a"), F.col("size").alias("size_a"), F.col("pivot.point").alias("b"), F.col("pivot.size").alias("size_b"))
+    counted = _fitting(rows).groupBy("a", "b", _least_shared("size_a", "size_b").alias("least")).count()
+    # A guess: pairs it misses are found among the cross pairs.
+    return counted.filter("2 * count >= least").select("a", "b")
+
+
+def _cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all candidates that are not in one component yet."""
+    root = roots.select(F.col("a").alias("point"), F.col("b").alias("root"))
+    rooted = shared.join(root, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    groups = rooted.select("shingle", "root").distinct()
+    other = groups.select("shingle", F.col("root").alias("root_b"))
+    met = groups.join(other, "shingle").filter("root < root_b")
+    left = rooted.select("shingle", "root", F.col("point").alias("a"), F.col("size").alias("size_a"))
+    right = rooted.select("shingle", F.col("root").alias("root_b"), F.col("point").alias("b"), F.col("size").alias("size_b"))
+    rows = met.join(left, ["shingle", "root"]).join(right, ["shingle", "root_b"])
+    counted = _fitting(rows).groupBy("a", "b", _least_shared("size_a", "size_b").alias("least")).count()
+    return counted.filter("count >= least").select("a", "b")
+
+
+def _verified(spark: SparkSession, texts: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near copies, compared on their whole sets."""
     pairs = written(spark, pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select(F.col("b").alias("point"))).distinct()
     # One text of each point.
@@ -123,7 +172,8 @@ def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame
 
     left = bodies.select(F.col("point").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("point").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").filter(verified("text_a", "text_b")).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b").filter(verified("text_a", "text_b")).select("a", "b")
+    return written(spark, found, "near")
 
 
 def near_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
