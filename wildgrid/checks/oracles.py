@@ -366,6 +366,7 @@ select e.eco_id, eco_name, biome_num, biome_name, realm, 1 as n_parts, cast(coun
   min(lon) as west, max(lon) as east, min(lat) as south, max(lat) as north
 from ecoregions e join eco_ring r on e.eco_id = r.eco_id where e.eco_id > 0 group by all"""),
     "retrieval_stage1": _sql(_RETRIEVAL_VIEWS, _SCORES, 'select * from stage1 where "rank" <= 10'),
+    "retrieval_stage1_pruned": _sql(_RETRIEVAL_VIEWS, _SCORES, 'select * from stage1 where "rank" <= 10'),
     "retrieval_stage2": _sql(_RETRIEVAL_VIEWS, _STAGE2, "select * from stage2"),
     "retrieval_stage3": _sql(_RETRIEVAL_VIEWS, _STAGE2 + """,
 tops as (

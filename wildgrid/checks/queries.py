@@ -121,9 +121,9 @@ class Tables:
             page, page, self.obs, self.photos, self.observers, self.link, self.vernacular
         )
 
-    def retrieval(self, name: str) -> DataFrame:
+    def retrieval(self, name: str, prune: bool = False) -> DataFrame:
         views = [self.view(n) for n in ("query_vec", "text_clip", "text_bioclip", "anchors", "species_meta")]
-        return ident.identify(*views, only=name)[name]
+        return ident.identify(*views, only=name, prune=prune)[name]
 
 
 def biome_toggle(t: Tables) -> DataFrame:
@@ -301,6 +301,7 @@ QUERIES: dict[str, Query] = {
     "ecoregion_features": _on(ecoregion_features),
     # Identification
     "retrieval_stage1": _on(lambda t: t.retrieval("stage1")),
+    "retrieval_stage1_pruned": _on(lambda t: t.retrieval("stage1", prune=True)),
     "retrieval_stage2": _on(lambda t: t.retrieval("stage2")),
     "retrieval_stage3": _on(lambda t: t.retrieval("stage3")),
     "retrieval_predictions": _on(lambda t: t.retrieval("predictions")),

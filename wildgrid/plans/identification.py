@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wildgrid.functions import numeric, text
+from wildgrid.operators import pruned
 from wildgrid.operators.numbering import first_per_key
 from wildgrid.operators.similarity import best_matches, best_similarity
 from wildgrid.plans.external import augment_predictions
@@ -43,11 +44,17 @@ def species_by_slug(species: DataFrame) -> DataFrame:
 
 
 def stage1(
-    queries: DataFrame, text_clip: DataFrame, text_bio: DataFrame, species: DataFrame, top_m: int = TOP_M
+    queries: DataFrame, text_clip: DataFrame, text_bio: DataFrame, species: DataFrame, top_m: int = TOP_M,
+    prune: bool = False,
 ) -> DataFrame:
-    """Best ``top_m`` species texts per query, with species metadata."""
+    """Best ``top_m`` species texts per query, with species metadata.
+
+    With ``prune`` blocks of texts that cannot hold any of them are not compared; the rows
+    are the same. It runs at once, in rounds, and pays where texts outnumber a few blocks.
+    """
     encoded = queries.select("query_id", F.col("q_clip").alias("clip"), F.col("q_bio").alias("bio")).dropna()
-    found = best_matches(encoded, align_spaces(text_clip, text_bio), text_clip, top_m)
+    texts = align_spaces(text_clip, text_bio)
+    found = pruned.best_matches(encoded, texts, top_m)[0] if prune else best_matches(encoded, texts, text_clip, top_m)
     order = [F.desc("score"), "slug", "description"]
     per_query = Window.partitionBy("query_id")
     best = found.withColumn("nth", F.row_number().over(per_query.orderBy(*order))).filter(F.col("nth") <= top_m)
@@ -194,6 +201,7 @@ def identify(
     top_k: int = TOP_K,
     weight: float = WEIGHT,
     only: str | None = None,
+    prune: bool = False,
 ) -> dict[str, DataFrame]:
     """All stages: stage1 (the part shown), stage2, stage3, predictions, known.
 
@@ -201,9 +209,9 @@ def identify(
     metadata of the species list. The results of the two vector comparisons are
     checkpointed: they are short, several outputs read them, and a lost executor
     must not cause a second comparison. These checkpoints run when this is called;
-    ``only="stage1"`` plans that stage alone and runs nothing.
+    ``only="stage1"`` plans that stage alone and, without ``prune``, runs nothing.
     """
-    first = stage1(queries, text_clip, text_bio, species, top_m)
+    first = stage1(queries, text_clip, text_bio, species, top_m, prune)
     if only == "stage1":
         return {"stage1": first.filter(F.col("rank") <= SHOWN_STAGE1)}
     shared_folder(queries.sparkSession)
