@@ -42,6 +42,10 @@ hex_density as (
     count(distinct taxon_id) as n_species, count(distinct observer_id) as n_observers
   from joined where h3_r3 is not null group by all)"""
 
+_REGION_STATS = """
+select h3_r3, kingdom, phylum, quality_grade, year, count(*) as n_obs, count(distinct taxon_id) as n_species,
+  count(distinct observer_id) as n_observers from joined where h3_r3 is not null group by all"""
+
 _TEMPORAL = _JOINED + """,
 temporal as (
   select year, month, kingdom, phylum, quality_grade, count(*) as n_obs, count(distinct taxon_id) as n_species
@@ -249,12 +253,15 @@ from live l left join ranks r on l.taxon_id = r.taxon_id"""),
     "taxon_link_rate": _sql(["taxa", "checklist"], _LINK, """
 select count(*) as n_taxa, count(gbif_id) as n_matched, (cast(printf('%.6f', cast(count(gbif_id)/cast(count(*) as double) as double)) as double) + cast(0 as double)) as match_rate from link"""),
     "hex_density": _sql(_OBS_TAXA, _HEX, "select * from hex_density"),
-    "region_stats": _sql(_OBS_TAXA, _JOINED, """
-select h3_r3, kingdom, phylum, quality_grade, year, count(*) as n_obs, count(distinct taxon_id) as n_species,
-  count(distinct observer_id) as n_observers from joined where h3_r3 is not null group by all"""),
+    "region_stats": _sql(_OBS_TAXA, _JOINED, _REGION_STATS),
     "temporal_table": _sql(_OBS_TAXA, _TEMPORAL, "select * from temporal"),
     "taxon_tree_table": _sql(_OBS_TAXA, _TREE, "select * from taxon_tree"),
     "species_list": _sql(_SPECIES_LIST_VIEWS, _SPECIES_LIST, "select * from species_list"),
+    "folded_hex_density": _sql(_OBS_TAXA, _HEX, "select * from hex_density"),
+    "folded_region_stats": _sql(_OBS_TAXA, _JOINED, _REGION_STATS),
+    "folded_temporal": _sql(_OBS_TAXA, _TEMPORAL, "select * from temporal"),
+    "folded_taxon_tree": _sql(_OBS_TAXA, _TREE, "select * from taxon_tree"),
+    "folded_species_counts": _sql(_OBS_TAXA, _SPECIES, "select * from species_counts"),
     "map_hex_r3": _sql(_OBS_TAXA, _HEX, _MAP.format(cell="h3_r3", metric="n_obs", where=_GRADE_YEARS)),
     "map_hex_r5": _sql(_OBS_TAXA, _HEX, _MAP.format(cell="h3_r5", metric="n_species", where=_GRADE_YEARS)),
     "map_hex_observers": _sql(

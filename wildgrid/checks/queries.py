@@ -13,9 +13,9 @@ from wildgrid.operators import filters as flt
 from wildgrid.operators.filters import DEFAULT_SCOPE, RESEARCH_SCOPE, Filters
 from wildgrid.operators.grid import assign_cells, cell_sets, cover_polygons
 from wildgrid.operators.taxonomy import match_names, match_rate
-from wildgrid.plans import aggregates as agg, cleaning, dashboard as dash, external, identification as ident
+from wildgrid.plans import aggregates as agg, cleaning, dashboard as dash, external, identification as ident, incremental
 from wildgrid.plans.profile import species_profiles
-from wildgrid.sources import delimited, features as feat, inventory as inv, tables as tab
+from wildgrid.sources import delimited, features as feat, inventory as inv, tables as tab, versions
 from wildgrid.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +225,15 @@ def dumped(t: Tables, view: str, file: str) -> str:
     return folder
 
 
+def folded(t: Tables, name: str, parts: int = 3) -> DataFrame:
+    """An aggregate continued over all observations, which come as parts of a dump."""
+    store = fresh_path(t.spark, "store")
+    part = F.pmod(F.xxhash64("observation_uuid"), F.lit(parts))
+    for i in range(parts):
+        incremental.fold(t.spark, store, t.obs.filter(part == i), t.taxa, [name])
+    return versions.read_version(t.spark, store)[name]
+
+
 def _on(plan: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(Tables(spark, sf_dir))
 
@@ -246,6 +255,12 @@ QUERIES: dict[str, Query] = {
     "temporal_table": _on(lambda t: t.temporal),
     "taxon_tree_table": _on(lambda t: t.taxon_tree),
     "species_list": _on(lambda t: t.species_list),
+    # Aggregates, continued part by part
+    "folded_hex_density": _on(lambda t: folded(t, "hex_density")),
+    "folded_region_stats": _on(lambda t: folded(t, "country_stats")),
+    "folded_temporal": _on(lambda t: folded(t, "temporal")),
+    "folded_taxon_tree": _on(lambda t: folded(t, "taxon_tree")),
+    "folded_species_counts": _on(lambda t: folded(t, "species_list")),
     # Dashboard
     "map_hex_r3": _on(lambda t: dash.density_map(t.hex_density, GRADE_YEARS, 3, "obs")),
     "map_hex_r5": _on(lambda t: dash.density_map(t.hex_density, GRADE_YEARS, 5, "species")),

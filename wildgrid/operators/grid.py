@@ -47,6 +47,12 @@ def assign_cells(points: DataFrame, lat: str = "latitude", lon: str = "longitude
     )
 
 
+def cell_number(cell: str) -> Column:
+    """A coarse cell as a number below 64,800; an id of another form is an error."""
+    parts = F.split(F.col(cell), "_")
+    return parts[0].cast("long") * 360 + parts[1].cast("long")
+
+
 def polygon_edges(features: DataFrame, key: str = "eco_id") -> DataFrame:
     """Edge table (key, part, x1, y1, x2, y2) of features with a ``parts`` column.
 
