@@ -148,6 +148,26 @@ def test_edited_copies_against_brute_force(spark):
     assert got == set(want.values())
 
 
+def test_copies_of_one_template_against_brute_force(spark, monkeypatch):
+    """Most edited copies of a template are below the limit to each other; few pairs are tried."""
+    rng = np.random.default_rng(12)
+    texts = {}
+    for template in range(2):
+        words = [f"t{template}_{k}" for k in range(120 + 30 * template)]
+        for c in range(150):
+            copy = list(words[: len(words) - int(rng.integers(0, 8))])
+            for at in rng.integers(0, len(copy), int(rng.integers(1, 9))):
+                copy[at] = f"x{rng.integers(0, 500)}"
+            texts[1000 * template + c] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tried, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda s, t, p, pairs: tried.append(pairs.count()) or verified(s, t, p, pairs))
+    want = jaccard_groups(texts)
+    assert 10 < len(set(want.values())) < len(texts)
+    assert {r.doc_id for r in jaccard.one_of_each(spark, df).collect()} == set(want.values())
+    assert len(tried) == 2 and sum(tried) < 2 * 150 * 149 / 2 / 3
+
+
 @needs_tables
 def test_pipeline_run_leaves_no_edited_copies(spark):
     docs = table(spark, FOLDER, "documents")

@@ -3,14 +3,16 @@
 A text is the set of the 64-bit hashes of its shingles of five words. Two texts are near
 copies if they share at least 4/5 of the union of their sets; linked texts make a component.
 
-All shingles are put into one order. Two sets of sizes n and m that share that much have at
-least k shingles in common among their first n - ceil(4n/5) + k and m - ceil(4m/5) + k
-shingles, whatever the order (k is COMMON, or ceil(4n/5) of the smaller set if that is less).
-So only these are sent, texts that meet under k of them are candidates, and every candidate
-is verified on the whole sets. Under a crowded shingle two texts are tried with all others
-first; only texts that these links leave in different components are paired after that. The order puts shingles last
-that are frequent in a sample of the texts: it decides how many candidates there are, not
-which links are found.
+All shingles are put into one order. Of two linked sets of sizes n and m, the first common
+shingle stands so early in each that enough shingles follow for all they must share: at a
+place i (from 0) of the first with m <= 9(n - i)/4 - n, and likewise in the other. So only the
+first n - ceil(4n/5) + 1 shingles are sent, each with the size of the largest set it can be the
+first common shingle with, and two texts are a candidate where they meet within these sizes.
+Every candidate is verified on the whole sets. Under a crowded shingle two texts are tried with
+all others first, those with most shingles that others have, as near copies of a template are
+linked to its least edited copy; only texts that these links leave in different components are
+paired after that. The order puts shingles last that are frequent in a sample of the texts: it
+decides how many candidates there are, not which links are found.
 
 NULL and empty texts have the empty set and are copies of each other. A text of fewer than
 five words is one shingle. Equal sets are one point, which is verified once. An empty table gives an empty one.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wildgrid.llm import simhash
 from wildgrid.llm.common import BLANKS, LOWER_AZ, bound_batches, whole_text, written
@@ -33,8 +35,6 @@ SHINGLE = 5
 SEED = 42
 # Texts that are sampled for the order, about, and frequent shingles that are held at most.
 SAMPLE, HELD = 4000, 100_000
-# Shingles that a candidate pair must share among the first ones.
-COMMON = 12
 # Points of a shingle from which on two of them are tried for all first.
 CROWD = 8
 _BLANK_TABLE = bytes(0x20 if chr(c) in BLANKS else c for c in LOWER_AZ)
@@ -79,15 +79,18 @@ def frequent(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, np.ndar
     return rows["shingle"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
-def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of their counts, then hashes."""
+def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of their counts, then hashes.
+
+    With each, the size of the largest set that it can be the first common shingle with.
+    """
     n = len(hashes)
-    least = -(-4 * n // 5)
     rank = np.zeros(n, np.int64)
     if len(held) and n:
         at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
         rank = np.where(held[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))[: n - least + min(COMMON, least)]]
+    first = hashes[np.lexsort((hashes, rank))[: n // 5 + 1]]
+    return first, 9 * (n - np.arange(len(first))) // 4 - n
 
 
 def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame:
@@ -101,16 +104,17 @@ def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 hashes = shingles(text)
-                first = prefix(hashes, held, counts)
+                first, most = prefix(hashes, held, counts)
                 yield pa.RecordBatch.from_pydict({
                     "shingle": pa.array(first, pa.int64()),
                     "point": pa.array(np.full(len(first), point(hashes), np.int64)),
                     "size": pa.array(np.full(len(first), len(hashes), np.int32)),
+                    "most": pa.array(most, pa.int32()),
                 })
 
-    cells = texts.select("text").mapInArrow(filed, "shingle long, point long, size int")
+    cells = texts.select("text").mapInArrow(filed, "shingle long, point long, size int, most int")
     # Most shingles have one text; what is left is small.
-    shared = cells.groupBy("shingle").agg(F.collect_set(F.struct("point", "size")).alias("at"))
+    shared = cells.groupBy("shingle").agg(F.collect_set(F.struct("point", "size", "most")).alias("at"))
     shared = shared.filter(F.size("at") > 1).select("shingle", F.explode("at").alias("at")).select("shingle", "at.*")
     shared = written(spark, shared, "shared-shingles")
     found = _verified(spark, texts, points, _star_pairs(shared))
@@ -119,43 +123,49 @@ def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame
     return found.unionByName(rest)
 
 
-def _least_shared(size_a: str, size_b: str) -> Column:
-    return F.least(F.lit(COMMON), F.ceil(F.least(size_a, size_b) * 4 / 5))
-
-
-def _fitting(rows: DataFrame) -> DataFrame:
-    """Rows (a, size_a, b, size_b) whose sizes allow a share of 4/5."""
-    return rows.filter("5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
-
-
 def _star_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): the points of crowded shingles, each with two points that speak for the shingle.
 
     As many rows as points. Most of a large group of near copies is linked by these, so that
-    its pairs need not be listed.
+    its pairs need not be listed. Points that can share too little, as far as the sent
+    shingles tell, are not tried: a guess, as pairs it misses are found among the cross pairs.
     """
-    point = F.struct(F.xxhash64("point").alias("hash"), "point", "size")
-    pivots = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(point).alias("low"), F.max(point).alias("high"))
-    pivots = pivots.filter(F.col("n") > CROWD).select("shingle", F.explode(F.array("low", "high")).alias("pivot"))
-    rows = shared.join(pivots, "shingle").filter("point <> pivot.point").select(
-        F.col("point").alias("a"), F.col("size").alias("size_a"), F.col("pivot.point").alias("b"), F.col("pivot.size").alias("size_b"))
-    counted = _fitting(rows).groupBy("a", "b", _least_shared("size_a", "size_b").alias("least")).count()
-    # A guess: pairs it misses are found among the cross pairs.
-    return counted.filter("2 * count >= least").select("a", "b")
+    alone = shared.groupBy("point").agg((F.floor(F.first("size") / 5) + 1 - F.count(F.lit(1))).alias("alone"))
+    rows = shared.join(alone, "point").withColumn("common", F.col("size") - F.col("alone"))
+    point = F.struct((F.col("common") / F.col("size")).alias("part"), F.xxhash64("point").alias("hash"), "point", "size", "common")
+    pivots = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max(point).alias("one"))
+    pivots = pivots.filter(F.col("n") > CROWD)
+    second = rows.join(pivots, "shingle").filter("point <> one.point").groupBy("shingle").agg(F.max(point).alias("pivot"))
+    pivots = pivots.select("shingle", F.col("one").alias("pivot")).unionByName(second)
+    met = rows.join(pivots, "shingle").filter("point <> pivot.point")
+    met = met.filter("9 * least(common, pivot.common) >= 4 * (size + pivot.size)")
+    low, high = F.least("point", "pivot.point"), F.greatest("point", "pivot.point")
+    return met.select(low.alias("a"), high.alias("b")).distinct()
 
 
 def _cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all candidates that are not in one component yet."""
+    """(a, b): all candidates that are not in one component yet.
+
+    First the components that meet under a shingle and whose sizes allow a link, then their points.
+    """
     root = roots.select(F.col("a").alias("point"), F.col("b").alias("root"))
     rooted = shared.join(root, "point", "left").withColumn("root", F.coalesce("root", "point"))
-    groups = rooted.select("shingle", "root").distinct()
-    other = groups.select("shingle", F.col("root").alias("root_b"))
-    met = groups.join(other, "shingle").filter("root < root_b")
-    left = rooted.select("shingle", "root", F.col("point").alias("a"), F.col("size").alias("size_a"))
-    right = rooted.select("shingle", F.col("root").alias("root_b"), F.col("point").alias("b"), F.col("size").alias("size_b"))
-    rows = met.join(left, ["shingle", "root"]).join(right, ["shingle", "root_b"])
-    counted = _fitting(rows).groupBy("a", "b", _least_shared("size_a", "size_b").alias("least")).count()
-    return counted.filter("count >= least").select("a", "b")
+    # Shingles that are too late for the least set under them are too late for all.
+    least = rooted.groupBy("shingle").agg(F.min("size").alias("least"))
+    rooted = rooted.join(least, "shingle").filter("most >= least").drop("least")
+    groups = rooted.groupBy("shingle", "root").agg(F.min("size").alias("size"), F.max("most").alias("most"))
+    other = groups.select(*[F.col(c).alias(f"{c}_b") for c in groups.columns])
+    met = groups.join(other, F.expr("shingle = shingle_b and root < root_b and size <= most_b and size_b <= most"))
+    met = met.select("shingle", "root", "root_b", F.col("size_b").alias("low"), F.col("most_b").alias("high"))
+    left = rooted.select("shingle", "root", F.col("point").alias("a"), F.col("size").alias("size_a"), F.col("most").alias("most_a"))
+    right = rooted.select(
+        F.col("shingle").alias("under"), F.col("root").alias("root_r"), F.col("point").alias("b"),
+        F.col("size").alias("size_b"), F.col("most").alias("most_b"))
+    tried = met.alias("m").join(
+        left.alias("l"), F.expr("m.shingle = l.shingle and m.root = l.root and low <= most_a and size_a <= high")
+    ).select("m.shingle", "root_b", "a", "size_a", "most_a")
+    rows = tried.join(right, F.expr("shingle = under and root_b = root_r and size_b <= most_a and size_a <= most_b"))
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(spark: SparkSession, texts: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
