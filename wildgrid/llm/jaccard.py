@@ -5,9 +5,10 @@ copies if they share at least 4/5 of the union of their sets; linked texts make
 
 All shingles are put into one order. Of two linked sets of sizes n and m, the first common
 shingle stands so early in each that enough shingles follow for all they must share: at a
-place i (from 0) of the first with m <= 9(n - i)/4 - n, and likewise in the other. So only the
-first n - ceil(4n/5) + 1 shingles are sent, each with the size of the largest set it can be the
-first common shingle with, and two texts are a candidate where they meet within these sizes.
+place i (from 0) of the first with m <= 9(n - i)/4 - n, and likewise in the other. Texts that
+meet within these sizes are a candidate if they also have at least k shingles in common among
+their first n - ceil(4n/5) + k and m - ceil(4m/5) + k, as linked texts must (k is COMMON, or
+ceil(4n/5) of the smaller set if that is less). So only these shingles are sent.
 Every candidate is verified on the whole sets. Under a crowded shingle two texts are tried with
 all others first, those with most shingles that others have, as near copies of a template are
 linked to its least edited copy; only texts that these links leave in different components are
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wildgrid.llm import simhash
 from wildgrid.llm.common import BLANKS, LOWER_AZ, bound_batches, whole_text, written
@@ -35,6 +36,8 @@ SHINGLE = 5
 SEED = 42
 # Texts that are sampled for the order, about, and frequent shingles that are held at most.
 SAMPLE, HELD = 4000, 100_000
+# Shingles that a candidate pair must share among the first ones.
+COMMON = 12
 # Points of a shingle from which on two of them are tried for all first.
 CROWD = 8
 _BLANK_TABLE = bytes(0x20 if chr(c) in BLANKS else c for c in LOWER_AZ)
@@ -85,11 +88,12 @@ def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> tuple[np
     With each, the size of the largest set that it can be the first common shingle with.
     """
     n = len(hashes)
+    least = -(-4 * n // 5)
     rank = np.zeros(n, np.int64)
     if len(held) and n:
         at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
         rank = np.where(held[at] == hashes, counts[at], 0)
-    first = hashes[np.lexsort((hashes, rank))[: n // 5 + 1]]
+    first = hashes[np.lexsort((hashes, rank))[: n - least + min(COMMON, least)]]
     return first, 9 * (n - np.arange(len(first))) // 4 - n
 
 
@@ -123,6 +127,10 @@ def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame
     return found.unionByName(rest)
 
 
+def _least_shared(size_a: str, size_b: str) -> Column:
+    return F.least(F.lit(COMMON), F.ceil(F.least(size_a, size_b) * 4 / 5))
+
+
 def _star_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): the points of crowded shingles, each with two points that speak for the shingle.
 
@@ -130,7 +138,9 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     its pairs need not be listed. Points that can share too little, as far as the sent
     shingles tell, are not tried: a guess, as pairs it misses are found among the cross pairs.
     """
-    alone = shared.groupBy("point").agg((F.floor(F.first("size") / 5) + 1 - F.count(F.lit(1))).alias("alone"))
+    size = F.first("size")
+    sent = size - F.ceil(size * 4 / 5) + F.least(F.lit(COMMON), F.ceil(size * 4 / 5))
+    alone = shared.groupBy("point").agg((sent - F.count(F.lit(1))).alias("alone"))
     rows = shared.join(alone, "point").withColumn("common", F.col("size") - F.col("alone"))
     point = F.struct((F.col("common") / F.col("size")).alias("part"), F.xxhash64("point").alias("hash"), "point", "size", "common")
     pivots = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max(point).alias("one"))
@@ -140,7 +150,8 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     met = rows.join(pivots, "shingle").filter("point <> pivot.point")
     met = met.filter("9 * least(common, pivot.common) >= 4 * (size + pivot.size)")
     low, high = F.least("point", "pivot.point"), F.greatest("point", "pivot.point")
-    return met.select(low.alias("a"), high.alias("b")).distinct()
+    counted = met.groupBy(low.alias("a"), high.alias("b"), _least_shared("size", "pivot.size").alias("least")).count()
+    return counted.filter("2 * count >= least").select("a", "b")
 
 
 def _cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -165,7 +176,11 @@ def _cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
         left.alias("l"), F.expr("m.shingle = l.shingle and m.root = l.root and low <= most_a and size_a <= high")
     ).select("m.shingle", "root_b", "a", "size_a", "most_a")
     rows = tried.join(right, F.expr("shingle = under and root_b = root_r and size_b <= most_a and size_a <= most_b"))
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = rows.select("a", "b", _least_shared("size_a", "size_b").alias("least")).distinct()
+    first = shared.groupBy("point").agg(F.collect_list("shingle").alias("first"))
+    one, two = (first.select(F.col("point").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(one, "a").join(two, "b")
+    return pairs.filter("size(array_intersect(first_a, first_b)) >= least").select("a", "b")
 
 
 def _verified(spark: SparkSession, texts: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
