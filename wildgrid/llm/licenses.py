@@ -4,7 +4,8 @@ A text is cut into sentences at line breaks and after full stops, exclamation an
 marks that blanks follow, but not in "v. 2". Sentences in normal form (lower case, runs of
 other characters than a-z and 0-9 as one blank) are mapped to identifiers of known licence
 sentences. A known sentence may be broken over the lines of a paragraph in any way, and the
-longest one counts. The identifiers of a text, in their order, are matched against rules: a
+longest one counts. The sentence on endorsement has a blank of at most 120 characters for the name
+of an organisation. A line may also be a licence tag. The identifiers of a text, in their order, are matched against rules: a
 rule is an ordered list of identifiers of one licence. Longer rules are matched first and use
 up what they match, so a notice of several sentences is not counted again as a shorter one.
 Unknown sentences between known ones do not matter.
@@ -64,7 +65,7 @@ SENTENCES = {
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
     "cc0": "This work is dedicated to the public domain under the CC0 1.0 license.",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "mpl-2-dist": "You can obtain one at https://mozilla.org/MPL/2.0/ for the terms of the license.",
+    "mpl-2-dist": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved under copyright.",
@@ -125,6 +126,13 @@ WHOLE = [
        "the terms of the GNU General Public License as published by the Free Software Foundation, " + version)
       for n in (2, 3)
       for version in (f"either version {n} of the License, or (at your option) any later version.", f"version {n} of the License.", f"version {n}.")],
+    *[(f"lgpl-version-{n}", f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the "
+       "GNU Lesser General Public License as published by the Free Software Foundation, " + version)
+      for n in ("2.1", "3") for thing in ("library", "program")
+      for version in (f"either version {n} of the License, or (at your option) any later version.", f"version {n} of the License.", f"version {n}.")],
+    *[("agpl-version-3", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+       "GNU Affero General Public License as published by the Free Software Foundation, " + version)
+      for version in ("either version 3 of the License, or (at your option) any later version.", "version 3 of the License.", "version 3.")],
     ("gpl-no-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
      "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("gpl-details", "See the GNU General Public License for more details."),
@@ -144,6 +152,11 @@ WHOLE = [
 _NO_VERSION = ("GPL-3.0", ["gpl-free", "gpl-terms", "gpl-no-warranty", "gpl-details"])
 VERSION_RULES = [(f"GPL-{n}.0", ["gpl-free", "gpl-terms", f"gpl-version-{n}", *rest])
                  for n in (2, 3) for rest in (["gpl-no-warranty", "gpl-details"], [])]
+VERSION_RULES += [("LGPL-2.1", ["lgpl-version-2.1"]), ("LGPL-3.0", ["lgpl-version-3"]), ("AGPL-3.0", ["agpl-version-3"])]
+
+# The blank of a known sentence, for the name of an organisation.
+BLANK = r"neither\s+the\s+names?\s+of\s+[^!?;:]{1,120}?\s+nor\s+the\s+names\s+of\s+(?:its|any|their)(\s)"
+FILLED = "neither the name of the copyright holder nor the names of its"
 
 # Every known sentence holds one of these.
 CUES = ["licens", "permission", "redistribut", "warrant", "copyright", "public domain", "terms of the gnu", "agreed to in writing"]
@@ -153,19 +166,27 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
+def tags() -> dict[str, str]:
+    """Licence by its short tag; tags of the GNU licences also say whether later versions are meant."""
+    named = sorted({licence for licence, _ in RULES + VERSION_RULES})
+    return {licence + end: licence for licence in named for end in (["", "-only", "-or-later"] if "GPL" in licence else [""])}
+
+
 def known_sentences() -> dict[str, str]:
-    """Identifier by normal form of the sentence."""
-    return {normal(s): name for name, s in SENTENCES.items()}
+    """Identifier by normal form of the sentence, lines with a tag included."""
+    known = SENTENCES | {f"spdx-{tag}": f"SPDX-License-Identifier: {tag}" for tag in tags()}
+    return {normal(s): name for name, s in known.items()}
 
 
 def rules() -> list[tuple[str, list[str]]]:
     """The rules, the longest first, in the order given among equals."""
-    return sorted(RULES, key=lambda rule: -len(rule[1]))
+    tagged = [(licence, [f"spdx-{tag}"]) for tag, licence in tags().items()]
+    return sorted(RULES + tagged, key=lambda rule: -len(rule[1]))
 
 
 def whole_rules() -> list[tuple[str, list[str]]]:
     """The rules over whole sentences, the longest first."""
-    return sorted([r for r in RULES if r != _NO_VERSION] + VERSION_RULES, key=lambda rule: -len(rule[1]))
+    return sorted([r for r in rules() if r != _NO_VERSION] + VERSION_RULES, key=lambda rule: -len(rule[1]))
 
 
 def sentence_ids(text: Column) -> Column:
@@ -174,8 +195,9 @@ def sentence_ids(text: Column) -> Column:
     is_open = {normal(s) for _, s in WHOLE if s.endswith(":")}
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.lower(text)
+    filled = F.regexp_replace(low, BLANK, f"{FILLED}$1")
     # In the normal form of the text, S stands for the end of a sentence and L for that of a line.
-    ends = F.regexp_replace(low, r"([!?]|(?<!\bv)\.|\.(?![^a-z0-9]+[0-9]))(?=[ \t\r\n])", " S ")
+    ends = F.regexp_replace(filled, r"([!?]|(?<!\bv)\.|\.(?![^a-z0-9]+[0-9]))(?=[ \t\r\n])", " S ")
     form = F.regexp_replace(F.concat(F.lit("\n"), ends, F.lit("\n")), "\n", " L ")
     form = F.trim(F.regexp_replace(form, "[^a-z0-9LS]+", " "))
     one = [f.replace(" ", "(?: L)? ") + ("(?= )" if f in is_open else "(?= [LS])") for f in sorted(known, key=len, reverse=True)]
@@ -219,7 +241,7 @@ def oracle() -> str:
         sequence = f"replace({sequence}, '{''.join(f'<{n}>' for n in names)}', '{{{licence}}}')"
     return rf"""
 WITH docs AS (
-    SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS low FROM documents
+    SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(coalesce(text, '')), '{BLANK}', '{FILLED}\1', 'g') AS low FROM documents
 ), known AS (
     SELECT * FROM (VALUES {pairs}) AS v(form, name)
 ), parts AS (
