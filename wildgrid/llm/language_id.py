@@ -41,16 +41,18 @@ SHARES = 256
 # Character evidence beyond so many grams adds nothing: neighbouring grams repeat each other.
 FULL_EVIDENCE = 60.0
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>", re.S | re.I)
+_OPENER = re.compile(r"<!--|<(script|style|nav)\b", re.I)
+_CLOSER = {"": re.compile("-->")} | {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _MAIN = re.compile(r"<(/?)(article|main)(?=[\s/>])[^>]*>", re.I)
 
 
 def main_parts(shown: str) -> list[str]:
     """The outermost article and main elements; one that is not closed goes on to the end."""
     parts, name, start, depth = [], "", 0, 0
-    for tag in _MAIN.finditer(shown):
+    for tag in _MAIN.finditer(shown, 0, shown.rfind(">") + 1):
         closes, own = bool(tag.group(1)), tag.group(2).lower()
         if not depth:
             if not closes:
@@ -62,16 +64,45 @@ def main_parts(shown: str) -> list[str]:
     return parts + [shown[start:]] * (depth > 0)
 
 
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles and menus that are closed, in one scan."""
+    parts, at, never_closed = [], 0, set()
+    for opener in _OPENER.finditer(page):
+        kind = (opener.group(1) or "").lower()
+        if opener.start() < at or kind in never_closed:
+            continue
+        closer = _CLOSER[kind].search(page, opener.end())
+        if closer:
+            parts.append(page[at : opener.start()])
+            at = closer.end()
+        else:
+            never_closed.add(kind)
+    return " ".join([*parts, page[at:]])
+
+
+def without_tags(shown: str) -> str:
+    # No tag ends behind the last >, so none is looked for there.
+    end = shown.rfind(">") + 1
+    return _TAG.sub(" ", shown[:end]) + shown[end:]
+
+
 def visible_text(page: str | None) -> str:
     """Text of the main parts, or of the whole page if they hold no words."""
-    shown = _HIDDEN.sub(" ", page or "")
-    main = html.unescape(_TAG.sub(" ", " ".join(main_parts(shown))))
-    return main if any(map(str.isalpha, main)) else html.unescape(_TAG.sub(" ", shown))
+    shown = without_hidden(page or "")
+    main = html.unescape(without_tags(" ".join(main_parts(shown))))
+    return main if any(map(str.isalpha, main)) else html.unescape(without_tags(shown))
 
 
 def declared_language(page: str | None) -> str | None:
-    found = _DECLARED.search(page or "")
-    return found.group(1).lower() if found else None
+    """The language that the first html tag with one declares."""
+    page, at = page or "", 0
+    while opener := _HTML.search(page, at):
+        end = page.find(">", opener.end())
+        end = len(page) if end < 0 else end
+        if found := _LANG.search(page, opener.end(), end):
+            return found.group(1).lower()
+        at = end
+    return None
 
 
 def address_parts(url: str | None) -> tuple[str | None, str | None, str | None]:
