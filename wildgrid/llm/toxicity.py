@@ -46,8 +46,8 @@ LEXICONS = {
 PATTERNS = {
     "address": re.compile(r"\byou(?:'re| are)?(?: an?| such an?)? (?:idiot|moron|loser|fool|clown)s?\b", re.I),
     "dismissal": re.compile(r"\b(?:shut up|go away|nobody likes you|get lost)\b", re.I),
-    "shouting": re.compile(r"\b[A-Z]{4,}\b.*!{2,}"),
 }
+_CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 MINED_VOTERS = 6
@@ -64,9 +64,15 @@ def signs(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
+def shouting(text: str) -> bool:
+    """Whether a line has a word in capitals and two exclamation marks somewhere after it."""
+    return any((first := _CAPITALS.search(line)) and "!!" in line[first.end() :] for line in text.split("\n"))
+
+
 def matches(text: str | None) -> list[str]:
     """Names of the patterns found, marked so that no word can equal them."""
-    return [f"/{name}" for name, pattern in PATTERNS.items() if pattern.search(text or "")]
+    found = [f"/{name}" for name, pattern in PATTERNS.items() if pattern.search(text or "")]
+    return found + ["/shouting"] * shouting(text or "")
 
 
 class Sample:
