@@ -8,7 +8,8 @@ shingle stands so early in each that enough shingles follow for all they must sh
 place i (from 0) of the first with m <= 9(n - i)/4 - n, and likewise in the other. Texts that
 meet within these sizes are a candidate if they also have at least k shingles in common among
 their first n - ceil(4n/5) + k and m - ceil(4m/5) + k, as linked texts must (k is COMMON, or
-ceil(4n/5) of the smaller set if that is less). So only these shingles are sent.
+ceil(4n/5) of the smaller set if that is less), and more where their sizes ask for more (see
+``_needed``). So only these shingles are sent.
 Every candidate is verified on the whole sets. Under a crowded shingle two texts are tried with
 all others first, those with most shingles that others have, as near copies of a template are
 linked to its least edited copy; only texts that these links leave in different components are
@@ -82,53 +83,79 @@ def frequent(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, np.ndar
     return rows["shingle"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
-def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the order of their counts, then hashes.
-
-    With each, the size of the largest set that it can be the first common shingle with.
-    """
+def prefix(hashes: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of their counts, then hashes."""
     n = len(hashes)
     least = -(-4 * n // 5)
     rank = np.zeros(n, np.int64)
     if len(held) and n:
         at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
         rank = np.where(held[at] == hashes, counts[at], 0)
-    first = hashes[np.lexsort((hashes, rank))[: n - least + min(COMMON, least)]]
-    return first, 9 * (n - np.arange(len(first))) // 4 - n
-
+    return hashes[np.lexsort((hashes, rank))[: n - least + min(COMMON, least)]]
 
-def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b): links that connect all near copies; ``points`` has point and text_hash of ``texts``.
 
-    Not every pair is listed: within a component that is known already none is.
-    """
+def signed(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(doc, text_hash, point, size, first) of every text: its set is built once."""
     held, counts = frequent(spark, texts)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                hashes = shingles(text)
-                first, most = prefix(hashes, held, counts)
-                yield pa.RecordBatch.from_pydict({
-                    "shingle": pa.array(first, pa.int64()),
-                    "point": pa.array(np.full(len(first), point(hashes), np.int64)),
-                    "size": pa.array(np.full(len(first), len(hashes), np.int32)),
-                    "most": pa.array(most, pa.int32()),
-                })
-
-    cells = texts.select("text").mapInArrow(filed, "shingle long, point long, size int, most int")
-    # Most shingles have one text; what is left is small.
-    shared = cells.groupBy("shingle").agg(F.collect_set(F.struct("point", "size", "most")).alias("at"))
-    shared = shared.filter(F.size("at") > 1).select("shingle", F.explode("at").alias("at")).select("shingle", "at.*")
-    shared = written(spark, shared, "shared-shingles")
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "doc": batch.column(0),
+                "text_hash": batch.column(1),
+                "point": pa.array([point(h) for h in sets], pa.int64()),
+                "size": pa.array([len(h) for h in sets], pa.int32()),
+                "first": pa.array([prefix(h, held, counts) for h in sets], pa.list_(pa.int64())),
+            })
+
+    kind = texts.schema["doc"].dataType.simpleString()
+    rows = texts.select("doc", "text_hash", "text")
+    return rows.mapInArrow(filed, f"doc {kind}, text_hash long, point long, size int, first array<long>")
+
+
+def shared_shingles(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(shingle, point, size, most, n): the first shingles that several points have, n of them.
+
+    ``most`` is the size of the largest set that the shingle can be the first common one with.
+    Points that share fewer shingles with all others together than a link needs are left out.
+    """
+    cells = points.select("point", "size", "first").dropDuplicates(["point"])
+    cells = cells.select("point", "size", F.posexplode("first").alias("at", "shingle"))
+    most = F.expr("cast((9 * (size - at)) div 4 - size as int)")
+    cells = cells.select("shingle", "point", "size", most.alias("most"))
+    # Counted first, so that no shingle's points are ever gathered in one row.
+    often = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(spark, cells.join(often, "shingle"), "shared-shingles")
+    enough = shared.groupBy("point").agg(F.count(F.lit(1)).alias("own"), F.first("size").alias("size"))
+    return written(spark, shared.join(enough.filter(f"own >= {_least('size')}"), "point", "left_semi"), "shared-enough")
+
+
+def links(spark: SparkSession, texts: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): links that connect all near copies; ``points`` has the rows of ``signed`` for ``texts``.
+
+    Not every pair is listed: within a component that is known already none is.
+    """
+    shared = shared_shingles(spark, points)
     found = _verified(spark, texts, points, _star_pairs(shared))
     roots = components(spark, found)
     rest = _verified(spark, texts, points, _cross_pairs(shared, roots))
     return found.unionByName(rest)
 
 
-def _least_shared(size_a: str, size_b: str) -> Column:
-    return F.least(F.lit(COMMON), F.ceil(F.least(size_a, size_b) * 4 / 5))
+def _least(size: str) -> str:
+    """Shingles that a set must share among its first ones."""
+    return f"least({COMMON}, (4 * {size} + 4) div 5)"
+
+
+def _needed(a: str, b: str) -> Column:
+    """Shingles that linked sets of these sizes share among their first ones.
+
+    They share 4/9 of the sum of their sizes. What they share beyond the first ones stands
+    after the earlier end of the two, so the rest of the longer set bounds it.
+    """
+    beyond = " , ".join(f"(4 * {s} + 4) div 5 - {_least(s)}" for s in (a, b))
+    return F.expr(f"greatest({_least(f'least({a}, {b})')}, (4 * ({a} + {b}) + 8) div 9 - greatest({beyond}))")
 
 
 def _star_pairs(shared: DataFrame) -> DataFrame:
@@ -141,16 +168,17 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     size = F.first("size")
     sent = size - F.ceil(size * 4 / 5) + F.least(F.lit(COMMON), F.ceil(size * 4 / 5))
     alone = shared.groupBy("point").agg((sent - F.count(F.lit(1))).alias("alone"))
-    rows = shared.join(alone, "point").withColumn("common", F.col("size") - F.col("alone"))
+    crowded = shared.filter(F.col("n") > CROWD).select("shingle", "point", "size")
+    rows = crowded.join(alone, "point").withColumn("common", F.col("size") - F.col("alone"))
     point = F.struct((F.col("common") / F.col("size")).alias("part"), F.xxhash64("point").alias("hash"), "point", "size", "common")
-    pivots = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max(point).alias("one"))
-    pivots = pivots.filter(F.col("n") > CROWD)
+    pivots = rows.groupBy("shingle").agg(F.max(point).alias("one"))
     second = rows.join(pivots, "shingle").filter("point <> one.point").groupBy("shingle").agg(F.max(point).alias("pivot"))
     pivots = pivots.select("shingle", F.col("one").alias("pivot")).unionByName(second)
     met = rows.join(pivots, "shingle").filter("point <> pivot.point")
     met = met.filter("9 * least(common, pivot.common) >= 4 * (size + pivot.size)")
     low, high = F.least("point", "pivot.point"), F.greatest("point", "pivot.point")
-    counted = met.groupBy(low.alias("a"), high.alias("b"), _least_shared("size", "pivot.size").alias("least")).count()
+    least = F.expr(_least("least(size, pivot.size)"))
+    counted = met.groupBy(low.alias("a"), high.alias("b"), least.alias("least")).count()
     return counted.filter("2 * count >= least").select("a", "b")
 
 
@@ -176,7 +204,7 @@ def _cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
         left.alias("l"), F.expr("m.shingle = l.shingle and m.root = l.root and low <= most_a and size_a <= high")
     ).select("m.shingle", "root_b", "a", "size_a", "most_a")
     rows = tried.join(right, F.expr("shingle = under and root_b = root_r and size_b <= most_a and size_a <= most_b"))
-    pairs = rows.select("a", "b", _least_shared("size_a", "size_b").alias("least")).distinct()
+    pairs = rows.select("a", "b", _needed("size_a", "size_b").alias("least")).distinct()
     first = shared.groupBy("point").agg(F.collect_list("shingle").alias("first"))
     one, two = (first.select(F.col("point").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b"))
     pairs = pairs.join(one, "a").join(two, "b")
@@ -205,13 +233,9 @@ def near_groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(doc, text_hash, component): one row per document, with the least id of its component."""
     bound_batches(spark)
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([point(shingles(t)) for t in texts], dtype=np.int64)
-
     texts = documents.select(F.col("doc_id").alias("doc"), whole_text("text").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    rows = written(spark, texts.select("doc", "text_hash", of("text").alias("point")), "points")
+    rows = written(spark, signed(spark, texts), "points")
     roots = components(spark, links(spark, texts, rows))
     rooted = rows.join(roots, rows["point"] == roots["a"], "left").select(
         "doc", "text_hash", F.coalesce("b", "point").alias("root")
