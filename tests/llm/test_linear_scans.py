@@ -27,6 +27,8 @@ def test_shouting_as_the_pattern_finds():
     for _ in range(4000):
         text = "".join(rng.choices(["STOP", "ABC", " ", "!", "!!", "\n", "a", "\r", "9"], k=rng.randrange(0, 12)))
         assert toxicity.shouting(text) == bool(plain.search(text)), text
+    assert "shouting" in toxicity.PATTERN_VOTERS
+    assert toxicity.matches("please STOP it!!") == ["/shouting"]
 
 
 def test_two_megabytes_of_openers():

@@ -47,6 +47,8 @@ PATTERNS = {
     "address": re.compile(r"\byou(?:'re| are)?(?: an?| such an?)? (?:idiot|moron|loser|fool|clown)s?\b", re.I),
     "dismissal": re.compile(r"\b(?:shut up|go away|nobody likes you|get lost)\b", re.I),
 }
+# Voters on patterns, shouting included.
+PATTERN_VOTERS = [*PATTERNS, "shouting"]
 _CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
@@ -140,11 +142,11 @@ class Voters:
 
     def names(self) -> list[str]:
         mined = [f"mined_{kind}_{k}" for kind in ("word", "beginning") for k in range(MINED_VOTERS)]
-        return [*LEXICONS, *PATTERNS, *mined, "no_listed_word", "no_mined_sign"]
+        return [*LEXICONS, *PATTERN_VOTERS, *mined, "no_listed_word", "no_mined_sign"]
 
     def votes(self, found: set[str]) -> list[int]:
         out = [int(any(w in found for w in words)) for words in LEXICONS.values()]
-        out += [int(f"/{name}" in found) for name in PATTERNS]
+        out += [int(f"/{name}" in found) for name in PATTERN_VOTERS]
         hit = found & self.mined
         groups = [0] * (2 * MINED_VOTERS)
         for w in hit:
@@ -251,7 +253,7 @@ def fit(seen: Iterable[Iterable[str]], labels: np.ndarray) -> ToxicityModel:
         return ToxicityModel()
     single = sample.copy_weights()
     voters = Voters(frozenset(sample.telling(labels, single, True)))
-    asked = {*voters.mined, *_EVERY_LIST, *(f"/{name}" for name in PATTERNS)}
+    asked = {*voters.mined, *_EVERY_LIST, *(f"/{name}" for name in PATTERN_VOTERS)}
     votes = np.array([voters.votes(found) for found in sample.found(asked)], np.int64)
     posterior = LabelModel().fit(votes, float((labels.sum() + 1) / (len(labels) + 2)))
     chosen = sorted({*sample.telling(posterior, single, False), *(_EVERY_LIST & set(sample.names))})
