@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wildgrid import schemas
+from wildgrid.checks import queries
 from wildgrid.operators import filters
 from wildgrid.plans import cleaning, external
 from wildgrid.sources import delimited, documents, features, inventory, tables
@@ -280,6 +281,22 @@ def test_embedding_report(spark, tmp_path):
     assert (first["rows"], first["sample_count"], first["norm_max"]) == (4, 2, 5.0)
 
 
+def test_a_vector_table_of_many_parts_is_one_file(spark, tmp_path):
+    """However it is stored: the same rows, statistics and first vectors."""
+    rows = [(i, [float(i), 0.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = []
+    for folder, parts in (("one", 1), ("many", 4)):
+        path = str(tmp_path / folder / "embeddings.parquet")
+        table.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").write.parquet(path)
+        for sample in (None, 15):
+            got.append(queries.embedding_profile(spark, str(tmp_path / folder), sample).collect())
+    assert got[:2] == got[2:] and [len(g) for g in got] == [1] * 4
+    whole, first = got[2][0], got[3][0]
+    assert (whole.file, whole["rows"], whole.sample_count, whole.norm_max) == ("embeddings.parquet", 40, 40, 39.0)
+    assert (first["rows"], first.sample_count, first.norm_max, first.norm_mean) == (40, 15, 14.0, 7.0)
+
+
 def test_quotes_and_line_breaks_in_free_text(spark, tmp_path):
     write(tmp_path / "Description.tsv", "taxonID\ttype\tdescription\tlanguage\tsource\tlicense\n"
           '1\tbiology\t"He said ""hi"" there"\ten\ts\tl\n2\tbiology\t"two\nlines\tand a tab"\ten\ts\tl\n3\tbiology\tplain\ten\ts\tl\textra\n')

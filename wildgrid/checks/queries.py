@@ -162,7 +162,7 @@ def as_text(df: DataFrame, column: str) -> DataFrame:
 
 def embedding_profile(spark: SparkSession, sf_dir: str, sample_n: int | None = None) -> DataFrame:
     """Norm statistics of the vector table, by file name."""
-    vectors = inv.read_vectors(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    vectors = inv.by_table(inv.read_vectors(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet"))
     profile = inv.embedding_profile(vectors, sample_n).withColumn("file", text.file_name(F.col("path"))).drop("path")
     return rounded(profile, ["norm_mean", "norm_std", "norm_min", "norm_max"], 6)
 

@@ -195,15 +195,25 @@ def read_vectors(
     )
 
 
+def by_table(vectors: DataFrame) -> DataFrame:
+    """Vectors under the path of their table: a folder ``x.parquet`` of parts is one file ``x.parquet``.
+
+    ``part`` keeps the part that a row is read from.
+    """
+    table = F.regexp_replace("path", r"^(.*?/[^/]*\.parquet)/.*$", "$1")
+    return vectors.withColumn("part", F.col("path")).withColumn("path", table)
+
+
 def embedding_profile(vectors: DataFrame, sample_n: int | None = None) -> DataFrame:
     """Per file: rows, vectors measured, dimension and norm statistics.
 
-    With ``sample_n`` only the first vectors of each file are measured; the row
-    count is that of the whole file.
+    With ``sample_n`` only the first vectors of each file are measured, parts in the order of
+    their names; the row count is that of the whole file.
     """
     measured = vectors.filter("embedding is not null")
     if sample_n is not None:
-        nth = F.row_number().over(Window.partitionBy("path").orderBy("row_index"))
+        order = [c for c in ("part", "row_index") if c in vectors.columns]
+        nth = F.row_number().over(Window.partitionBy("path").orderBy(*order))
         measured = measured.withColumn("nth", nth).filter(F.col("nth") <= sample_n)
     stats = (
         measured.select("path", F.size("embedding").alias("n"), norm(F.col("embedding")).alias("norm"))
