@@ -3,13 +3,13 @@
 The corpus is cut into blocks of near vectors. A block is summarised by its centre, its
 reach (how far its farthest vector lies from the centre) and its largest vector. By the
 triangle inequality no vector of a block scores higher than the centre's score plus the
-reach, nor higher than the length of the largest vector. Each query opens blocks in the
-order of this bound, in a few rounds; after a round its ``top``-th best score so far is
-known, and a block whose bound lies below it is never opened. What is skipped therefore
-cannot be among the best, and the result equals that of ``similarity.best_matches``.
+reach, nor higher than the length of the largest vector. Blocks are read past the queries as
+in ``similarity.best_matches``, but a query leaves those closed whose bound lies below its
+``top``-th best score so far; it begins with its ``top``-th best in a sample of the corpus. What
+is skipped therefore cannot be among the best, and the result is the same.
 
-The centres are fitted on a bounded sample of the corpus. They decide how much is skipped,
-not what is found. Only the summaries, at most MOST_BLOCKS rows, pass through the driver.
+The centres are fitted on that bounded sample. They decide how much is skipped, not what is
+found. Only the sample and the summaries, at most MOST_BLOCKS rows, pass through the driver.
 """
 
 from __future__ import annotations
@@ -24,36 +24,22 @@ from wildgrid.session import shared_folder
 FIT_ROWS = 8192  # vectors that the centres are fitted on, at most
 FIT_STEPS = 6
 MOST_BLOCKS = 1024
-# Rows a query opens by the end of each round, in multiples of ``top``; then all that is left.
-ROUNDS = (1, 8)
 SLACK = 1e-9  # what rounding may take from a bound
 SPACES = ("clip", "bio")
 
 
-def _stacked(table):
-    """Both vectors of each row side by side, in double precision."""
-    import numpy as np
-
-    def matrix(name):
-        column = table[name]
-        vectors = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-        return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
-
-    return np.concatenate([matrix(name) for name in SPACES], axis=1)
-
-
 def _fit_centres(corpus: DataFrame, blocks: int):
-    """Centres of a sample: the vectors of least hash, then a few steps of k-means."""
+    """Centres of a sample, the vectors of least hash, after a few steps of k-means; with the sample."""
     import numpy as np
 
     sample = corpus.orderBy(F.xxhash64("slug", "description", *SPACES)).limit(FIT_ROWS).select(*SPACES).toArrow()
     if not len(sample):
-        return None, 0
-    vectors = _stacked(sample)
-    split = len(sample["clip"][0])
+        return None, 0, None
+    vectors, split = similarity.stacked(sample)
+    vectors = vectors.astype("float64")
     sound = vectors[np.isfinite(vectors).all(axis=1)]
     if not len(sound):
-        return np.zeros((1, vectors.shape[1])), split
+        return np.zeros((1, vectors.shape[1])), split, sound
     centres = sound[:blocks].copy()
     for _ in range(FIT_STEPS):
         nearest = (sound @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
@@ -61,7 +47,7 @@ def _fit_centres(corpus: DataFrame, blocks: int):
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sound)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-    return centres, split
+    return centres, split, sound.astype("float32")
 
 
 def _in_blocks(corpus: DataFrame, centres, split: int) -> DataFrame:
@@ -77,7 +63,7 @@ def _in_blocks(corpus: DataFrame, centres, split: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            vectors = _stacked(batch)
+            vectors = similarity.stacked(batch)[0].astype("float64")
             block = (vectors @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
             sizes = [
                 sum(np.linalg.norm(part, axis=1) for part in (m[:, :split], m[:, split:])) / 2
@@ -90,118 +76,24 @@ def _in_blocks(corpus: DataFrame, centres, split: int) -> DataFrame:
     return corpus.mapInArrow(filed, f"{schema}, block int, reach double, length double")
 
 
-def _next_blocks(state: DataFrame, summary, centres, split: int, wanted: float) -> DataFrame:
-    """For each query the next blocks to open: by falling bound, until it has opened ``wanted`` rows.
+class Bounds:
+    """What a query needs to know of the blocks to leave them closed."""
 
-    ``state`` has query_id, the vectors, ``least`` (the score to reach) and ``opened`` (the
-    blocks it has had). Queries without a direction, or with nothing left to open, are left out.
-    """
-    blocks, rows, reach, longest = summary
+    def __init__(self, centres, numbers, reach, length, sample):
+        import numpy as np
+
+        self.centres, self.sample = centres, sample
+        self.reach, self.length = np.full(len(centres), np.inf), np.full(len(centres), np.inf)
+        self.reach[numbers], self.length[numbers] = reach, length
 
-    def chosen(batches):
+    def opened_by(self, asked, block: int):
+        """The queries for which a row of the block can be among the best."""
         import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = _stacked(batch)
-            parts = vectors[:, :split], vectors[:, split:]
-            lengths = [np.linalg.norm(part, axis=1, keepdims=True) for part in parts]
-            with np.errstate(all="ignore"):
-                unit = np.concatenate([part / size for part, size in zip(parts, lengths)], axis=1)
-                bound = np.minimum(unit @ centres[blocks].T / 2 + reach, longest)
+        with np.errstate(all="ignore"):
+            bound = np.minimum(asked.unit @ self.centres[block] / 2 + self.reach[block], self.length[block])
             # A bound that is no number skips nothing.
-            bound = np.where(np.isfinite(bound), bound + SLACK * (1 + np.abs(bound)), np.inf)
-            least = batch.column("least").to_numpy(zero_copy_only=False)
-            opened = batch.column("opened").to_pylist()
-            directed = (lengths[0][:, 0] > 0) & (lengths[1][:, 0] > 0)
-            picks = []
-            for i in range(len(batch)):
-                had = np.isin(blocks, opened[i])
-                order = np.lexsort((blocks, -bound[i]))
-                order = order[~had[order] & (bound[i][order] >= least[i])]
-                before = rows[had].sum() + np.cumsum(rows[order]) - rows[order]
-                picks.append(blocks[order[before < wanted]].tolist() if directed[i] else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id"), pa.array(picks, pa.list_(pa.int32()))], names=["query_id", "picks"]
-            )
-
-    id_type = state.schema["query_id"].dataType.simpleString()
-    return state.mapInArrow(chosen, f"query_id {id_type}, picks array<int>").filter(F.size("picks") > 0)
-
-
-def _compare(top: int):
-    """Best ``top`` rows of a block for each query that opens it, none below its ``least``."""
-    places, chunk = similarity.SCORE_PLACES, similarity.CHUNK
-
-    def compare(left, right):
-        import numpy as np
-        import pyarrow as pa
-        from pyarrow import compute
-
-        names = ["query_id", "slug", "description", "copies", "score_clip", "score_bio", "score"]
-        # Sorted by name, a stable sort by score leaves ties in name order.
-        order = [("slug", "ascending"), ("description", "ascending")]
-        right = right.take(compute.sort_indices(right, sort_keys=order, null_placement="at_start"))
-        n = min(top, len(right))
-        asked, at, scores = [np.zeros(0, dtype="int64")], [np.zeros(0, dtype="int64")], [np.zeros((3, 0))]
-        if n and len(left):
-            queries, vectors = _stacked(left), _stacked(right)
-            split = len(left["clip"][0])
-            sides = [(queries[:, cut], vectors[:, cut].T) for cut in (slice(None, split), slice(split, None))]
-            sides = [(q / np.linalg.norm(q, axis=1, keepdims=True), v) for q, v in sides]
-            least = left["least"].to_numpy()
-            for start in range(0, len(left), chunk):
-                clip, bio = (q[start : start + chunk] @ v for q, v in sides)
-                score = np.round((clip + bio) / 2, places)
-                floor = np.maximum(np.partition(score, -n, axis=1)[:, -n], least[start : start + chunk])
-                row, good = np.nonzero(score >= floor[:, None])
-                order_in = np.lexsort((good, -score[row, good], row))
-                row, good = row[order_in], good[order_in]
-                kept = np.arange(len(row)) - np.searchsorted(row, row) < n
-                row, good = row[kept], good[kept]
-                asked.append(row + start)
-                at.append(good)
-                scores.append(np.stack([clip[row, good], bio[row, good], score[row, good]]))
-        query = left["query_id"].take(pa.array(np.concatenate(asked)))
-        picked = right.select(["slug", "description", "copies"]).take(pa.array(np.concatenate(at)))
-        columns = [pa.array(s) for s in np.concatenate(scores, axis=1)]
-        return pa.table([query, *picked.columns, *columns], names=names)
-
-    return compare
-
-
-def _meet(state: DataFrame, picks: DataFrame, corpus: DataFrame, top: int) -> DataFrame:
-    """Scores of the picked (query, block) pairs; blocks and their queries are cut to bounded size."""
-    pairs = picks.select("query_id", F.explode("picks").alias("block"))
-    cut = similarity.RIGHT_BLOCK
-    shares = pairs.groupBy("block").agg(F.ceil(F.count("*") / similarity.LEFT_BLOCK).cast("int").alias("n_left")).join(
-        corpus.groupBy("block").agg(F.ceil(F.count("*") / cut).cast("int").alias("n_right")), "block"
-    )
-    left = (
-        pairs.join(shares, "block")
-        .select(
-            "query_id", "block", similarity._block_of(["query_id"], F.col("n_left")).alias("lb"),
-            similarity._all_blocks(F.col("n_right")).alias("rb"),
-        )
-        .join(state.select("query_id", *SPACES, "least"), "query_id")
-    )
-    right = corpus.join(shares, "block").select(
-        "slug", "description", *SPACES, "copies", "block",
-        similarity._block_of(["slug", "description", "clip"], F.col("n_right")).alias("rb"),
-        similarity._all_blocks(F.col("n_left")).alias("lb"),
-    )
-    id_type = state.schema["query_id"].dataType.simpleString()
-    return (
-        left.groupBy("block", "lb", "rb")
-        .cogroup(right.groupBy("block", "lb", "rb"))
-        .applyInArrow(
-            _compare(top),
-            f"query_id {id_type}, slug string, description string, copies long, "
-            "score_clip double, score_bio double, score double",
-        )
-    )
+            return np.flatnonzero(~(bound + SLACK * (1 + np.abs(bound)) < asked.least))
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
@@ -209,6 +101,23 @@ def _best(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top).drop("nth")
 
 
+def _cut_blocks(corpus: DataFrame) -> DataFrame:
+    """Packed blocks with their number ``of``; a large block is cut by a hash of its rows."""
+    cuts = corpus.groupBy("block").agg(F.ceil(F.count("*") / similarity.RIGHT_BLOCK).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("place"), F.col("cuts")).alias("cut")
+
+    def pack(rows):
+        import pyarrow as pa
+
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.select(["place", *SPACES]).schema) as stream:
+            stream.write_table(rows.select(["place", *SPACES]).combine_chunks())
+        return pa.table({"block": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "of": rows["block"][:1]})
+
+    cut_rows = corpus.join(cuts, "block").select("place", *SPACES, "block", cut)
+    return cut_rows.groupBy("block", "cut").applyInArrow(pack, "block binary, of int").checkpoint()
+
+
 def best_matches(
     queries: DataFrame, corpus: DataFrame, top: int, blocks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -216,46 +125,23 @@ def best_matches(
 
     Inputs and scores are those of ``similarity.best_matches``; query ids are unique. The
     corpus is cut into ``blocks`` blocks, by default the root of its rows. The work has
-    query_id, opened (rows compared) and total. The rounds run when this is called: each is
-    checkpointed, as the next one reads it.
+    query_id, opened (rows compared) and total. The comparison runs when this is called and
+    is checkpointed, as both results read it.
     """
-    spark = queries.sparkSession
-    shared_folder(spark)
+    shared_folder(queries.sparkSession)
     corpus = corpus.checkpoint()
     n = corpus.count()
-    centres, split = _fit_centres(corpus, blocks or max(1, min(MOST_BLOCKS, math.ceil(math.sqrt(n)))))
+    corpus = similarity.placed(corpus, n)
+    centres, split, sample = _fit_centres(corpus, blocks or max(1, min(MOST_BLOCKS, math.ceil(math.sqrt(n)))))
     queries = queries.select("query_id", *SPACES)
     if centres is None:
         none = queries.select("query_id", F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("total"))
-        return similarity.best_matches(queries, corpus, corpus, top), none
-    corpus = _in_blocks(corpus, centres, split).checkpoint()
-    held = corpus.groupBy("block").agg(
-        F.count("*").alias("rows"), F.max("reach").alias("reach"), F.max("length").alias("length")
-    ).orderBy("block").toArrow()
-    summary = [held[name].to_numpy() for name in ("block", "rows", "reach", "length")]
-
-    state = queries.withColumn("least", F.lit(-math.inf)).withColumn("opened", F.array().cast("array<int>"))
-    found = None
-    for share in (*ROUNDS, math.inf):
-        picks = _next_blocks(state, summary, centres, split, share * top).checkpoint()
-        met = _meet(state, picks, corpus, top)
-        found = _best(met if found is None else found.unionByName(met), top).checkpoint()
-        reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("reached"))
-        reached = reached.filter(F.col("n") == top).select("query_id", "reached")
-        state = (
-            state.join(picks, "query_id", "left")
-            .join(reached, "query_id", "left")
-            .select(
-                "query_id", *SPACES, F.coalesce("reached", F.lit(-math.inf)).alias("least"),
-                F.concat("opened", F.coalesce("picks", F.array().cast("array<int>"))).alias("opened"),
-            )
-        )
-    sizes = corpus.groupBy("block").agg(F.count("*").alias("rows"))
-    work = (
-        state.select("query_id", F.explode_outer("opened").alias("block"))
-        .join(sizes, "block", "left")
-        .groupBy("query_id")
-        .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("opened"))
-        .withColumn("total", F.lit(n).cast("long"))
-    )
-    return found, work
+        return similarity.best_matches(queries, corpus.drop("place"), corpus, top), none
+    filed = _in_blocks(corpus.select("place", *SPACES), centres, split).checkpoint()
+    held = filed.groupBy("block").agg(F.max("reach").alias("reach"), F.max("length").alias("length")).orderBy("block").toArrow()
+    bounds = Bounds(centres, *[held[name].to_numpy() for name in ("block", "reach", "length")], sample)
+    met = similarity.compared(queries, _cut_blocks(filed), top, bounds).checkpoint()
+    found = _best(similarity.named(met.filter("opened is null").drop("opened"), corpus), top)
+    # A query that has met several groups of blocks has a row for each.
+    work = met.filter("opened is not null").groupBy("query_id").agg(F.sum("opened").alias("opened"))
+    return found, work.withColumn("total", F.lit(n).cast("long"))

@@ -50,7 +50,7 @@ def stage1(
     """Best ``top_m`` species texts per query, with species metadata.
 
     With ``prune`` blocks of texts that cannot hold any of them are not compared; the rows
-    are the same. It runs at once, in rounds, and pays where texts outnumber a few blocks.
+    are the same. It runs at once, and pays where texts outnumber a few blocks.
     """
     encoded = queries.select("query_id", F.col("q_clip").alias("clip"), F.col("q_bio").alias("bio")).dropna()
     texts = align_spaces(text_clip, text_bio)
@@ -209,7 +209,8 @@ def identify(
     metadata of the species list. The results of the two vector comparisons are
     checkpointed: they are short, several outputs read them, and a lost executor
     must not cause a second comparison. These checkpoints run when this is called;
-    ``only="stage1"`` plans that stage alone and, without ``prune``, runs nothing.
+    ``only="stage1"`` plans that stage alone and, without ``prune``, runs only the
+    checkpoints of the two sides.
     """
     first = stage1(queries, text_clip, text_bio, species, top_m, prune)
     if only == "stage1":
