@@ -56,6 +56,33 @@ def test_folding_parts_equals_a_full_build(spark, tmp_path, obs, taxa):
     assert rows(first, *WHOLE["temporal"](obs, taxa).columns) == rows(agg.temporal(obs.filter("year = 2011"), taxa))
 
 
+def test_a_fold_reads_its_part_once(spark, tmp_path, obs, taxa):
+    """Every observation is computed once per fold, not once for the totals and once for the ids."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    part = obs.mapInArrow(counted, obs.schema)
+    incremental.fold(spark, str(tmp_path / "store"), part, taxa, ["temporal"])
+    assert seen.value == 3000
+
+
+def test_a_store_of_the_older_form_is_continued(spark, tmp_path, obs, taxa):
+    """Its ids have no totals; they are in a table of their own."""
+    store, table = str(tmp_path / "store"), incremental.continued()["species_list"]
+    early = obs.filter("year = 2011")
+    held = table.rows(early, taxa)
+    totals = held.groupBy(*table.keys).agg(F.count("*").alias("n_obs"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    old = {"species_list_totals": totals, "species_list_ids": seen_ids(held, table.keys, table.ids)}
+    versions.publish(spark, store, {**old, "species_list": agg.species_counts(early, taxa)})
+    incremental.fold(spark, store, obs.filter("year is null or year <> 2011"), taxa)
+    want = agg.species_counts(obs, taxa)
+    assert rows(versions.read_version(spark, store)["species_list"], *want.columns) == rows(want)
+
+
 def test_an_empty_store_and_empty_parts(spark, tmp_path, obs, taxa):
     store = str(tmp_path / "store")
     assert versions.latest(spark, store) is None

@@ -225,12 +225,22 @@ def dumped(t: Tables, view: str, file: str) -> str:
     return folder
 
 
+# What the aggregates take from an observation.
+FOLDED = ["taxon_id", "observer_id", "quality_grade", "year", "month", "h3_r3", "h3_r5"]
+
+
 def folded(t: Tables, name: str, parts: int = 3) -> DataFrame:
-    """An aggregate continued over all observations, which come as parts of a dump."""
-    store = fresh_path(t.spark, "store")
-    part = F.pmod(F.xxhash64("observation_uuid"), F.lit(parts))
+    """An aggregate continued over all observations, which come as parts of a dump.
+
+    The parts are written once; every fold reads its own.
+    """
+    store, dump = fresh_path(t.spark, "store"), fresh_path(t.spark, "parts")
+    part = F.pmod(F.xxhash64("observation_uuid"), F.lit(parts)).cast("int").alias("part")
+    obs = t.obs.select(*FOLDED, part)
+    obs.write.partitionBy("part").parquet(dump)
+    written = t.spark.read.schema(obs.schema).parquet(dump)
     for i in range(parts):
-        incremental.fold(t.spark, store, t.obs.filter(part == i), t.taxa, [name])
+        incremental.fold(t.spark, store, written.filter(F.col("part") == i).drop("part"), t.taxa, [name])
     return versions.read_version(t.spark, store)[name]
 
 

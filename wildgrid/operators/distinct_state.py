@@ -17,15 +17,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 MEASURE, WORD, BITS = "measure", "word", "bits"
 
 
-def seen_ids(rows: DataFrame, keys: list[str], ids: dict[str, Column | str]) -> DataFrame:
-    """State of some rows: ``ids`` has the integer id column of each measure. NULL is no id."""
+def id_bits(
+    rows: DataFrame, keys: list[str], ids: dict[str, Column | str], extra: dict[str, list[Column]] | None = None
+) -> DataFrame:
+    """A row per row and measure: the word and the bit of its id, NULL for a NULL id, and the measure's ``extra``."""
     sent = F.array(*[
-        F.struct(F.lit(name).alias(MEASURE), (F.col(c) if isinstance(c, str) else c).cast("long").alias("id"))
+        F.struct(
+            F.lit(name).alias(MEASURE), (F.col(c) if isinstance(c, str) else c).cast("long").alias("id"),
+            *(extra[name] if extra else []),
+        )
         for name, c in ids.items()
     ])
-    one = rows.select(*keys, F.explode(sent).alias("one")).select(*keys, "one.*").filter("id is not null")
+    one = rows.select(*keys, F.explode(sent).alias("one")).select(*keys, "one.*")
     bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
-    return one.groupBy(*keys, MEASURE, F.shiftright("id", 6).alias(WORD)).agg(F.bit_or(bit).alias(BITS))
+    return one.withColumns({WORD: F.shiftright("id", 6), BITS: bit}).drop("id")
+
+
+def seen_ids(rows: DataFrame, keys: list[str], ids: dict[str, Column | str]) -> DataFrame:
+    """State of some rows: ``ids`` has the integer id column of each measure. NULL is no id."""
+    bits = id_bits(rows, keys, ids).filter(F.col(BITS).isNotNull())
+    return bits.groupBy(*keys, MEASURE, WORD).agg(F.bit_or(BITS).alias(BITS))
 
 
 def merged_ids(states: list[DataFrame], keys: list[str]) -> DataFrame:

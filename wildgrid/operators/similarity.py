@@ -151,7 +151,7 @@ class _Asked:
                 whole = vectors.astype("float64") if whole is None else whole
                 self._keep(some, place, *self._dense(some, whole))
             else:
-                row, good = np.nonzero(hits)
+                row, good = np.divmod(np.flatnonzero(hits), hits.shape[1])
                 a, b = self.unit[some[row]], vectors[good].astype("float64")
                 clip, bio = (np.einsum("ij,ij->i", a[:, c], b[:, c]) for c in self._cuts())
                 score = np.round((clip + bio) / 2, SCORE_PLACES)

@@ -1,8 +1,8 @@
 """Aggregates that are continued with the observations of a new dump part.
 
-Each aggregate keeps a state: totals per group, and the distinct ids of each group as bits
-(``operators.distinct_state``). A part is reduced to a state of its own, and the two are
-merged; earlier observations are not read again. The state and the aggregate made from it
+Each aggregate keeps a state: the distinct ids of each group as bits
+(``operators.distinct_state``), and its totals beside the bits of the first measure. A part is
+read once and merged into the state in one shuffle; earlier observations are not read again. The state and the aggregate made from it
 are published as one version of the store, so that both always belong together, and a
 fold that dies half-way can be repeated.
 
@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wildgrid.operators.distinct_state import MEASURE, WORD, merged_ids, seen_ids, with_distinct
+from wildgrid.operators.distinct_state import BITS, MEASURE, WORD, id_bits
 from wildgrid.operators.grid import cell_number
 from wildgrid.plans.aggregates import SORTING
 from wildgrid.schemas import RANKS
@@ -71,14 +72,41 @@ def continued() -> dict[str, Continued]:
     }
 
 
-def _totals(table: Continued, rows: DataFrame) -> DataFrame:
-    extremes = [pick(c).alias(name) for name, (pick, c) in table.extremes.items()]
-    return rows.groupBy(*table.keys).agg(F.count("*").alias("n_obs"), *extremes)
+def _state_columns(table: Continued) -> list[str]:
+    return [*table.keys, MEASURE, WORD, BITS, "n_obs", *table.extremes]
 
 
-def _merged_totals(table: Continued, old: DataFrame, new: DataFrame) -> DataFrame:
+def _as_state(table: Continued, rows: DataFrame) -> DataFrame:
+    """A row per observation and measure: its id as a bit, the totals with the first measure only."""
+    carried = {"n_obs": F.lit(1).cast("long"), **{name: F.col(c) for name, (_, c) in table.extremes.items()}}
+    first = next(iter(table.ids))
+    extra = {m: [(v if m == first else F.lit(None)).alias(name) for name, v in carried.items()] for m in table.ids}
+    return id_bits(rows, table.keys, table.ids, extra).filter(F.col(BITS).isNotNull() | F.col("n_obs").isNotNull())
+
+
+def _held(table: Continued, ids: DataFrame, totals: DataFrame) -> DataFrame:
+    """The state of a version; one of an older form has its totals in a table of their own."""
+    if "n_obs" in ids.columns:
+        return ids
+    apart = totals.withColumn(MEASURE, F.lit(next(iter(table.ids))))
+    return ids.unionByName(apart, allowMissingColumns=True)
+
+
+def _merged(table: Continued, states: list[DataFrame]) -> DataFrame:
+    """One state of several, in one shuffle."""
     extremes = [pick(name).alias(name) for name, (pick, _) in table.extremes.items()]
-    return old.unionByName(new).groupBy(*table.keys).agg(F.sum("n_obs").alias("n_obs"), *extremes)
+    rows = reduce(DataFrame.unionByName, [state.select(*_state_columns(table)) for state in states])
+    return rows.groupBy(*table.keys, MEASURE, WORD).agg(F.bit_or(BITS).alias(BITS), F.sum("n_obs").alias("n_obs"), *extremes)
+
+
+def _counted(table: Continued, state: DataFrame) -> DataFrame:
+    """Totals and numbers of distinct ids per group."""
+    extremes = [pick(name).alias(name) for name, (pick, _) in table.extremes.items()]
+    n_ids = F.bit_count(BITS).cast("long")
+    return state.groupBy(*table.keys).agg(
+        F.sum("n_obs").alias("n_obs"), *extremes,
+        *[F.coalesce(F.sum(F.when(F.col(MEASURE) == m, n_ids)), F.lit(0).cast("long")).alias(m) for m in table.ids],
+    )
 
 
 def fold(
@@ -99,13 +127,10 @@ def fold(
     draft = Draft(spark, store, before)
     for name in names:
         table = tables[name]
-        rows = table.rows(obs, taxa)
-        totals, ids = _totals(table, rows), seen_ids(rows, table.keys, table.ids)
+        states = [_as_state(table, table.rows(obs, taxa))]
         if old:
-            totals = _merged_totals(table, old[f"{name}_totals"], totals)
-            ids = merged_ids([old[f"{name}_ids"], ids], table.keys)
-        totals = draft.add(f"{name}_totals", totals)
-        ids = draft.add(f"{name}_ids", ids, [*table.keys, MEASURE, WORD])
-        counted = with_distinct(totals, ids, table.keys, list(table.ids))
-        draft.add(name, table.finish(counted, taxa), SORTING[name])
+            states.append(_held(table, old[f"{name}_ids"], old[f"{name}_totals"]))
+        state = draft.add(f"{name}_ids", _merged(table, states))
+        totals = draft.add(f"{name}_totals", _counted(table, state))
+        draft.add(name, table.finish(totals, taxa), SORTING[name])
     return draft.publish()
