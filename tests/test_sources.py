@@ -281,6 +281,17 @@ def test_embedding_report(spark, tmp_path):
     assert (first["rows"], first["sample_count"], first["norm_max"]) == (4, 2, 5.0)
 
 
+def test_documents_of_one_split_are_parsed_by_all_cores(spark, monkeypatch):
+    """Wherever they lie, they are dealt out before they are cut."""
+    texts = [(f"f{i:03}", f'[{{"name": "n{i % 40}"}}, {{"name": "m{i}"}}]') for i in range(200)]
+    one = spark.createDataFrame(texts, "source_file string, text string").coalesce(1)
+    dealt, extract = [], external.extract_records
+    monkeypatch.setattr(external, "extract_records", lambda df: dealt.append(df.rdd.getNumPartitions()) or extract(df))
+    got = dict(rows(external.external_species(one), "taxon_id", "name"))
+    assert dealt[0] >= spark.sparkContext.defaultParallelism
+    assert len(got) == 240 and (got[-1], got[-2]) == ("n0", "m0")
+
+
 def test_a_vector_table_of_many_parts_is_one_file(spark, tmp_path):
     """However it is stored: the same rows, statistics and first vectors."""
     rows = [(i, [float(i), 0.0]) for i in range(40)]

@@ -122,9 +122,11 @@ def extract_records(documents: DataFrame) -> DataFrame:
     objects. Of a repeated key the last value counts. ``position`` follows the order
     inside the document and counts all entries, also those that are no records.
     """
+    # An inner explode makes Spark test the size of ``entries`` first, which cuts every text twice.
     records = (
         _entries(documents)
-        .select("source_file", "is_map", F.explode("entries").alias("e"))
+        .select("source_file", "is_map", F.explode_outer("entries").alias("e"))
+        .filter("e is not null")
         .select("source_file", "is_map", "e.position", "e.key", lenient_variant(F.col("e.record")).alias("record"))
     )
     return _fields(records.filter(_is_object()))
